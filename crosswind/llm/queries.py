@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosswind.llm import chat, quality, sharding
+from crosswind.llm import chat, pieces, quality, sharding, simhash
 from crosswind.llm.common import table
 from crosswind.llm.oracles import CHAT_SQL, QUALITY_SQL
 
@@ -26,5 +26,13 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.render_turns(turns.unionByName(more)))
 
 
-QUERIES = {"op6_sharding": op6_sharding, "op7_quality": op7_quality, "op8_chat": op8_chat}
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(table(spark, sf_dir, "documents"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.document_groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_pieces": op2_pieces, "op10_simhash": op10_simhash, "op6_sharding": op6_sharding, "op7_quality": op7_quality, "op8_chat": op8_chat}
 ORACLE_SQL = {"op7_quality": QUALITY_SQL, "op8_chat": CHAT_SQL}
