@@ -36,7 +36,7 @@ def ascii_lower(text: Column) -> Column:
 
 def space_words(text: Column) -> Column:
     """Words of ``[^\\x20\\x09-\\x0D]+``; none for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
 
 
 def sized_parts(df: DataFrame, bytes_per_part: int = 32 << 20, text: str = "text") -> int:

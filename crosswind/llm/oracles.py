@@ -40,12 +40,12 @@ l AS (
     list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
   FROM (SELECT doc_id, unnest(lines) AS line FROM f)
 ), m AS (
-  SELECT *, len(w) AS n, length(s) AS c, length(regexp_replace(s, '[^A-Z]', '', 'g')) AS up, length(regexp_replace(s, '[^a-z]', '', 'g')) AS lo,
-    length(regexp_replace(s, '[^|•»›·]', '', 'g')) AS bars, length(regexp_replace(s, '[^#*$%&|<>]', '', 'g')) AS sym, length(regexp_replace(s, '[^!]', '', 'g')) AS sh
+  SELECT *, len(w) AS n, length(s) AS c, length(regexp_replace(s, '[^A-Z]', '', 'g')) AS up,
+    length(regexp_replace(s, '[^|»·]', '', 'g')) AS bars, length(regexp_replace(s, '[^#*$%&|<>]', '', 'g')) AS sym, length(regexp_replace(s, '[^!]', '', 'g')) AS sh
   FROM l
 ), bad AS (
   SELECT doc_id, sum(c) AS lost FROM m
-  WHERE (bars >= 2 AND bars * 5 >= n) OR (sym >= 3 AND sym * 10 >= c) OR (sh >= 3 AND sh * 3 >= n) OR (n >= 4 AND up > lo * 2)
+  WHERE (bars >= 2 AND bars * 5 >= n) OR (sym >= 3 AND sym * 10 >= c) OR (sh >= 3 AND sh * 3 >= n) OR (n >= 4 AND regexp_matches(line, '[A-Z][A-Z]') AND up * 2 > c)
     OR (n >= 10 AND len(list_distinct(w)) * 3 <= n)
     OR (n <= 40 AND regexp_matches(lower(line), 'all rights reserved|licensed under|spdx-license-identifier|terms of use|privacy policy|cookie policy|enable javascript|lorem ipsum|click here|subscribe to our newsletter'))
     OR (n < 6 AND NOT contains('.!?…:;"''”’»)]', right(s, 1)))

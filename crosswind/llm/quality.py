@@ -7,14 +7,17 @@ three-word windows) or if removing lines takes away more than ``MAX_LOST`` of it
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crosswind.llm.common import LOWER, SPACE, UPPER, space_words
+from crosswind.llm.common import space_words
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 #: A document that loses more than this percentage of its word characters with its failing lines is rejected.
 MAX_LOST_PERCENT = 50
 #: Lines of at most this many words that hold one of the phrases are boilerplate.
@@ -41,56 +44,64 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _without(s: Column, chars: str) -> Column:
-    return F.translate(s, chars, "")
+def _count(s: Column, pattern: str) -> Column:
+    return F.regexp_count(s, F.lit(pattern))
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line with a word in it breaks a rule."""
+def line_fails(line: Column, words: Column) -> Column:
+    """Whether a line, given with its words (one at least), breaks a rule. Cheap rules come first: a line that fails one isn't
+    held against the rest, and marks are counted only in lines that have any."""
+    chars = F.length(F.array_join(words, ""))
+    n = F.size(words)
+    marks = line.rlike("[|\u00bb\u00b7#*$%&<>!]") & (
+        let(_count(line, "[|\u00bb\u00b7]"), lambda k: (k >= 2) & (k * 5 >= n))  # navigation: a separator for five words or fewer
+        | let(_count(line, SYMBOLS), lambda k: (k >= 3) & (k * 10 >= chars))
+        | let(_count(line, "!"), lambda k: (k >= 3) & (k * 3 >= n))
+    )
+    return (
+        ((n < SHORT_LINE) & ~F.lit(ENDS).contains(F.substring(F.element_at(words, -1), -1, 1)))
+        | marks
+        | ((n >= 4) & line.rlike("[A-Z]{2}") & (_count(line, "[A-Z]") * 2 > chars))
+        | ((n <= BOILERPLATE_WORDS) & let(F.lower(line), lambda low: reduce(or_, (F.contains(low, F.lit(x)) for x in BOILERPLATE))))
+        | ((n >= 10) & (F.size(F.array_distinct(words)) * 3 <= n))
+    )
 
-    def rules(p: Column) -> Column:
-        words, chars = F.size(p["words"]), F.length(p["solid"])
-        upper = chars - F.length(_without(p["solid"], UPPER))
-        lower = chars - F.length(_without(p["solid"], LOWER))
-        bars = chars - F.length(_without(p["solid"], "|•»›·"))
-        symbols = chars - F.length(_without(p["solid"], SYMBOLS))
-        shouts = chars - F.length(_without(p["solid"], "!"))
-        low = F.lower(line)
-        boilerplate = F.lit(False)
-        for phrase in BOILERPLATE:
-            boilerplate = boilerplate | F.contains(low, F.lit(phrase))
-        return (
-            ((bars >= 2) & (bars * 5 >= words))  # navigation: a separator for five words or fewer
-            | ((symbols >= 3) & (symbols * 10 >= chars))
-            | ((shouts >= 3) & (shouts * 3 >= words))
-            | ((words >= 4) & (upper > lower * 2))
-            | ((words >= 10) & (F.size(F.array_distinct(p["words"])) * 3 <= words))
-            | ((words <= BOILERPLATE_WORDS) & boilerplate)
-            | ((words < SHORT_LINE) & ~F.lit(ENDS).contains(F.substring(p["solid"], -1, 1)))
-        )
 
-    return let(F.struct(space_words(line).alias("words"), _without(line, SPACE).alias("solid")), rules)
+#: Up to so many distinct repeated windows are looked for one by one; more by sorting windows with their places.
+FEW_REPEATS = 24
 
 
 def repeat_words(words: Column) -> Column:
     """How many words stand in three-word windows that are found twice or more in the array of words.
 
-    Windows are held against each other as 64-bit hashes: sorted with their places, equal neighbours are repeats; O(n log n).
+    Windows are held against each other as 64-bit hashes: sorted, equal neighbours are repeats; O(n log n).
     """
 
     def covered(places: Column) -> Column:
         parts = F.transform(places, lambda p, j: F.least(F.lit(3), F.coalesce(F.get(places, j + 1), p + 3) - p))
         return F.aggregate(parts, F.lit(0), lambda a, x: a + x)
 
-    def repeated(s: Column) -> Column:
+    def sorted_places(s: Column) -> Column:
         same = F.filter(s, lambda e, j: F.coalesce(F.get(s, j - 1)["h"] == e["h"], F.lit(False)) | F.coalesce(F.get(s, j + 1)["h"] == e["h"], F.lit(False)))
-        return let(F.array_sort(F.transform(same, lambda e: e["i"])), covered)
+        return F.sort_array(F.transform(same, lambda e: e["i"]))
+
+    def placed(h: Column) -> Column:
+        return F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
+
+    def repeated(h: Column, again: Column) -> Column:
+        few = F.transform(F.filter(placed(h), lambda e: F.array_contains(again, e["h"])), lambda e: e["i"])
+        return F.when(F.size(again) == 0, 0).otherwise(let(F.when(F.size(again) <= FEW_REPEATS, few).otherwise(let(F.sort_array(placed(h)), sorted_places)), covered))
 
-    def windows(w: Column) -> Column:
-        h = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-        return let(h, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(let(F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), repeated)))
+    def windows(h1: Column) -> Column:
+        n = F.size(h1)
+        h2 = F.zip_with(h1, F.slice(h1, F.lit(2), n), lambda a, b: F.xxhash64(a, b))
+        return F.slice(F.zip_with(h2, F.slice(h1, F.lit(3), n), lambda a, b: F.xxhash64(a, b)), F.lit(1), n - 2)
 
-    return F.when(F.size(words) < 4, 0).otherwise(let(words, windows))
+    def twice(h: Column) -> Column:
+        again = let(F.sort_array(h), lambda s: F.array_distinct(F.filter(s, lambda x, j: x == F.get(s, j + 1))))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(let(again, lambda again: repeated(h, again)))
+
+    return F.when(F.size(words) < 4, 0).otherwise(let(F.transform(words, lambda w: F.xxhash64(w)), lambda h1: let(windows(h1), twice)))
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,22 +111,28 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     no shuffle.
     """
     rows = docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    lines = F.transform(F.split("_text", "\n"), lambda x: F.struct(x.alias("line"), space_words(x).alias("words")))
+    # each of these is used more than once, which keeps Spark from computing it again for each use
+    rows = rows.select(id_col, "_text", lines.alias("_lines"))
+    rows = rows.select(
+        id_col,
+        F.flatten(F.col("_lines.words")).alias("_words"),
+        _count(F.col("_text"), SYMBOLS).cast("long").alias("n_symbols"),
+        let(F.filter("_lines", lambda x: F.size(x["words"]) > 0)["line"], lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        F.filter("_lines", lambda x: (F.size(x["words"]) == 0) | ~line_fails(x["line"], x["words"])).alias("_good"),
+    )
     rows = rows.select(
         id_col,
-        space_words(F.col("_text")).alias("_words"),
-        F.length(_without(F.col("_text"), SPACE)).cast("long").alias("word_chars"),
-        (F.length("_text") - F.length(_without(F.col("_text"), SYMBOLS))).cast("long").alias("n_symbols"),
-        let(
-            F.transform(F.split("_text", "\n"), lambda line: F.struct(line.alias("line"), (F.length(_without(line, SPACE)) > 0).alias("full"))),
-            lambda lines: F.struct(
-                let(F.transform(F.filter(lines, lambda x: x["full"]), lambda x: x["line"]), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-                F.transform(F.filter(lines, lambda x: F.when(x["full"], ~line_fails(x["line"])).otherwise(True)), lambda x: x["line"]).alias("good"),
-            ),
-        ).alias("_lines"),
+        F.size("_words").cast("long").alias("n_words"),
+        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        "n_symbols",
+        "n_dup_lines",
+        repeat_words(F.col("_words")).cast("long").alias("n_repeat_words"),
+        F.array_join("_good.line", "\n").alias("clean_text"),
+        F.length(F.array_join(F.flatten(F.col("_good.words")), "")).alias("_left"),
     )
-    rows = rows.select(id_col, F.size("_words").cast("long").alias("n_words"), "word_chars", "n_symbols", F.col("_lines.n_dup_lines").alias("n_dup_lines"), repeat_words(F.col("_words")).cast("long").alias("n_repeat_words"), F.array_join("_lines.good", "\n").alias("clean_text"))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    lost = F.when(F.col("word_chars") == 0, 100).otherwise(F.floor(100 * (F.col("word_chars") - F.length(_without(F.col("clean_text"), SPACE))) / F.greatest(F.col("word_chars"), F.lit(1))))
+    lost = F.when(F.col("word_chars") == 0, 100).otherwise(F.floor(100 * (F.col("word_chars") - F.col("_left")) / F.greatest(F.col("word_chars"), F.lit(1))))
     rows = rows.withColumns({"base_failed": base, "lost_percent": lost.cast("long")})
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("lost_percent") <= MAX_LOST_PERCENT))
 
