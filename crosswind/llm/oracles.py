@@ -60,3 +60,40 @@ l AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND lost_percent <= 50 AS kept, lost_percent FROM v
 """
+
+HITS_SQL = r"""
+WITH low AS (
+  SELECT 'd' AS k, doc_id AS id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+  UNION ALL SELECT 'i', item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark
+), w AS (
+  SELECT k, id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM low
+), items AS (
+  SELECT DISTINCT id AS item, least(10, len(ws)) AS n, array_to_string(ws[p : p + least(10, len(ws)) - 1], ' ') AS win
+  FROM w, range(1, greatest(2, len(ws) - 8)) AS r(p) WHERE k = 'i' AND len(ws) > 0
+), lens AS (SELECT DISTINCT n FROM items),
+wins AS (
+  SELECT id, p, n, array_to_string(ws[p : p + n - 1], ' ') AS win FROM w, lens, range(1, len(ws) - n + 2) AS r(p) WHERE k = 'd'
+), hit AS (SELECT id, p, n, win FROM wins WHERE win IN (SELECT win FROM items)),
+pos AS (SELECT id, count(DISTINCT p + o) AS n_hit FROM hit, range(0, 10) AS s(o) WHERE o < n GROUP BY id),
+its AS (
+  SELECT id, count(DISTINCT item) AS n_items, array_to_string(list_sort(list_distinct(list(item::VARCHAR))), ',') AS items FROM hit JOIN items USING (win, n) GROUP BY id
+)
+SELECT w.id AS doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN pos USING (id) LEFT JOIN its USING (id) WHERE k = 'd'
+"""
+
+LINES_SQL = r"""
+WITH l AS (
+  SELECT doc_id, i, line, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS t
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents)
+), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS p, count(*) OVER (PARTITION BY doc_id) AS n FROM l WHERE t <> ''),
+d AS (SELECT doc_id, list(t ORDER BY i) AS ts, count(*) AS n FROM f GROUP BY doc_id),
+w AS (SELECT doc_id, s, least(n, 3) AS k, array_to_string(ts[s + 1 : s + 3], chr(10)) AS win FROM d, range(0, greatest(n - 2, 1)) AS r(s)),
+later AS (SELECT doc_id, s, k FROM w QUALIFY row_number() OVER (PARTITION BY win, k ORDER BY doc_id, s) > 1),
+gone AS (SELECT DISTINCT doc_id, s + o AS p FROM later, range(0, 3) AS x(o) WHERE o < k),
+g AS (SELECT f.doc_id, f.i FROM f JOIN gone USING (doc_id, p)),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM l WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.doc_id = l.doc_id AND g.i = l.i) GROUP BY doc_id)
+SELECT x.doc_id, CASE WHEN x.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text, coalesce(d.n, 0)::BIGINT AS n_lines, coalesce(c.n, 0)::BIGINT AS n_removed
+FROM documents x LEFT JOIN kept USING (doc_id) LEFT JOIN d USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id) c USING (doc_id)
+"""

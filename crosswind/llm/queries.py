@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosswind.llm import chat, pieces, quality, sharding, simhash
+from crosswind.llm import chat, decontam, linededup, pieces, quality, sharding, simhash
 from crosswind.llm.common import table
-from crosswind.llm.oracles import CHAT_SQL, QUALITY_SQL
+from crosswind.llm.oracles import CHAT_SQL, HITS_SQL, LINES_SQL, QUALITY_SQL
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,5 +34,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.document_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_pieces": op2_pieces, "op10_simhash": op10_simhash, "op6_sharding": op6_sharding, "op7_quality": op7_quality, "op8_chat": op8_chat}
-ORACLE_SQL = {"op7_quality": QUALITY_SQL, "op8_chat": CHAT_SQL}
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.document_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op3_lines": op3_lines, "op4_decontamination": op4_decontamination, "op2_pieces": op2_pieces, "op10_simhash": op10_simhash, "op6_sharding": op6_sharding, "op7_quality": op7_quality, "op8_chat": op8_chat}
+ORACLE_SQL = {"op3_lines": LINES_SQL, "op4_decontamination": HITS_SQL, "op7_quality": QUALITY_SQL, "op8_chat": CHAT_SQL}
