@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosswind.llm import chat, decontam, linededup, pieces, private, quality, scoring, sharding, simhash
+from crosswind.llm import chat, decontam, linededup, passages, pieces, private, quality, scoring, sharding, simhash
 from crosswind.llm.common import table
 from crosswind.llm.oracles import CHAT_SQL, HITS_SQL, LINES_SQL, QUALITY_SQL
 
@@ -34,6 +34,10 @@ def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(table(spark, sf_dir, "documents"))
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.document_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_private(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private.document_spans(table(spark, sf_dir, "documents"))
 
@@ -50,5 +54,5 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.document_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_scoring": op1_scoring, "op3_lines": op3_lines, "op4_decontamination": op4_decontamination, "op2_pieces": op2_pieces, "op9_private": op9_private, "op10_simhash": op10_simhash, "op6_sharding": op6_sharding, "op7_quality": op7_quality, "op8_chat": op8_chat}
+QUERIES = {"op1_scoring": op1_scoring, "op3_lines": op3_lines, "op4_decontamination": op4_decontamination, "op2_pieces": op2_pieces, "op5_passages": op5_passages, "op9_private": op9_private, "op10_simhash": op10_simhash, "op6_sharding": op6_sharding, "op7_quality": op7_quality, "op8_chat": op8_chat}
 ORACLE_SQL = {"op3_lines": LINES_SQL, "op4_decontamination": HITS_SQL, "op7_quality": QUALITY_SQL, "op8_chat": CHAT_SQL}
