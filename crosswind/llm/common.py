@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the contracts: space and U+0009 to U+000D.
 SPACE = " \t\n\x0b\x0c\r"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: For Python: lower-cases A-Z only.
-ASCII_LOWER = str.maketrans(UPPER, LOWER)
+ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,8 +33,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def ascii_lower(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
+def text_bytes(column: pa.Array) -> list[bytes]:
+    """UTF-8 of an Arrow column of strings; empty for null."""
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def lower_words(text: bytes) -> list[bytes]:
+    """Words of ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z: bytes know no other letters and split at no other white space."""
+    return text.lower().split()
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most so many rows."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
 
 
 def space_words(text: Column) -> Column:

@@ -8,9 +8,7 @@ joins. A place whose left and right context are long enough for the window is ve
 
 from __future__ import annotations
 
-import re
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,20 +16,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosswind.llm.common import ASCII_LOWER, checkpointed
+from crosswind.llm.common import checkpointed, slices, text_bytes
 
 WIDTH = 10
 #: Bits of the maps of words; more words only make the maps less selective.
 MAP_BITS = 22
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: Bytes of words of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lower-casing A-Z; all others become spaces.
+WORD_BYTES = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in bytes(range(256)).lower())
 
 
-def words(text: str | None) -> list[str]:
-    return WORD.findall((text or "").translate(ASCII_LOWER))
+def words(text: bytes) -> list[bytes]:
+    return text.translate(WORD_BYTES).split()
 
 
-def _bit(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word.encode()) & ((1 << MAP_BITS) - 1)
+def _bit(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word) & ((1 << MAP_BITS) - 1)
 
 
 def _bit_map(rows: DataFrame, column: str) -> bytes:
@@ -39,7 +38,7 @@ def _bit_map(rows: DataFrame, column: str) -> bytes:
 
     @F.pandas_udf("int")
     def bit(w):
-        return w.map(_bit)
+        return w.map(lambda x: _bit(x.encode()))
 
     bits = np.zeros(1 << MAP_BITS, np.uint8)
     bits[[r[0] for r in rows.select(bit(column).alias("bit")).distinct().collect()]] = 1
@@ -52,7 +51,7 @@ class _Known:
     def __init__(self, bit_map: bytes):
         self.bits, self.seen = np.unpackbits(np.frombuffer(bit_map, np.uint8)), {}
 
-    def among(self, distinct) -> set[str]:
+    def among(self, distinct) -> set[bytes]:
         if len(self.seen) > 500_000:
             self.seen.clear()
         seen, bits = self.seen, self.bits
@@ -66,23 +65,17 @@ class _Known:
         return found
 
 
-def _slices(batches: Iterator[pa.RecordBatch], n: int = 256) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(0, batch.num_rows, n):
-            yield batch.slice(k, n)
-
-
 def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """id_col, n and words of every distinct window of each item; an item of fewer than width words, but not none, is one."""
 
     def run(batches):
-        for batch in _slices(batches):
+        for batch in slices(batches, 256):
             ids, found = [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for i, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
                 own = words(text)
                 for w in {tuple(own[k : k + width]) for k in range(max(1, len(own) - width + 1))} if own else ():
                     ids.append(i)
-                    found.append(list(w))
+                    found.append([x.decode() for x in w])
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(list(map(len, found)), pa.int32()), pa.array(found, pa.list_(pa.string()))], ["item", "n", "words"])
 
     rows = items.select(F.col(id_col), F.col(text_col))
@@ -94,14 +87,17 @@ def _counts(docs: DataFrame, bit_map: bytes) -> DataFrame:
 
     def run(batches):
         known, total = _Known(bit_map), Counter()
-        for batch in _slices(batches):
-            here = Counter(w for x in batch.column(0).to_pylist() for w in words(x))
+        for batch in slices(batches, 256):
+            here = Counter(w for x in text_bytes(batch.column(0)) for w in words(x))
             for w in known.among(here):
                 total[w] += here[w]
             if len(total) > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], ["word", "n"])
+                yield counted(total)
                 total.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(total.keys()), pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
+        yield counted(total)
+
+    def counted(total):
+        return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in total], pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
 
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n_docs"))
 
@@ -112,10 +108,10 @@ def _places(docs: DataFrame, bit_map: bytes, width: int) -> DataFrame:
     def run(batches):
         known = _Known(bit_map)
         kind = pa.struct([("word", pa.string()), ("place", pa.int32()), ("left", pa.int32()), ("around", pa.list_(pa.string()))])
-        for batch in _slices(batches):
-            own = [words(x) for x in batch.column(2).to_pylist()]
+        for batch in slices(batches, 256):
+            own = [words(x) for x in text_bytes(batch.column(2))]
             look = known.among(set().union(*own))
-            found = [[{"word": w, "place": k, "left": min(k, width - 1), "around": ws[max(0, k - width + 1) : k + width]} for k, w in enumerate(ws) if w in look] for ws in own]
+            found = [[{"word": w.decode(), "place": k, "left": min(k, width - 1), "around": [x.decode() for x in ws[max(0, k - width + 1) : k + width]]} for k, w in enumerate(ws) if w in look] for ws in own]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(map(len, own)), pa.int64()), pa.array(found, pa.list_(kind))], ["row", "doc_id", "n_words", "places"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
