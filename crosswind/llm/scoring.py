@@ -13,7 +13,6 @@ counts of its own words only.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 from math import log
 
 import numpy as np
@@ -22,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crosswind.llm import attention as net
-from crosswind.llm.common import ASCII_LOWER, SPACE, checkpointed
+from crosswind.llm.common import checkpointed, lower_words, slices, text_bytes
 
 SHARE = 0.4
 WARM_WINDOWS, WARM_PASSES, WARM_RATE, WARM_BATCH, RATE, RATE_BATCH = 49_152, 2, 1e-2, 128, 1e-3, 64
@@ -31,44 +30,40 @@ SLICE_CHARS = 240
 #: Windows scored together: their arrays stay in the processor's cache.
 BATCH = 384
 
-_spaces = str.maketrans(dict.fromkeys(SPACE, " "))
 #: A word that no text has: the end of a text.
-TEXT_END = " "
-
-
-def words(text: str | None) -> list[str]:
-    return [w for w in (text or "").translate(ASCII_LOWER).translate(_spaces).split(" ") if w]
+TEXT_END = b" "
 
 
 def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(7)) == 2
 
 
-def _slices(batches, n):
-    for batch in batches:
-        for k in range(0, batch.num_rows, n):
-            yield batch.slice(k, n)
-
-
 def word_counts(docs: DataFrame) -> DataFrame:
     """word and c: how often training documents have each token, ends counted as TEXT_END."""
 
     def run(batches):
-        total: Counter[str] = Counter()
-        for batch in _slices(batches, 512):
-            for x in batch.column(0).to_pylist():
-                total.update(words(x))
+        total: Counter[bytes] = Counter()
+        for batch in slices(batches, 512):
+            for x in text_bytes(batch.column(0)):
+                total.update(lower_words(x))
             total[TEXT_END] += batch.num_rows
             if len(total) > 1_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(total.keys()), pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "c"])
+                yield counted(total)
                 total.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(total.keys()), pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "c"])
+        yield counted(total)
+
+    def counted(total):
+        return pa.RecordBatch.from_arrays([_strings(total), pa.array(list(total.values()), pa.int64())], ["word", "c"])
 
     return docs.filter(~held_out(F.col("doc_id")) | F.col("doc_id").isNull()).select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _word_ids(encoder, word: str) -> list[int]:
-    return encoder.encode_ordinary(" " + word)
+def _strings(words) -> pa.Array:
+    return pa.array(list(words), pa.binary()).cast(pa.string())
+
+
+def _word_ids(encoder, word: bytes) -> list[int]:
+    return encoder.encode_ordinary(" " + word.decode())
 
 
 def _training_windows(docs: DataFrame, path: str) -> DataFrame:
@@ -85,10 +80,10 @@ def _training_windows(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         encoder = net.subwords(path)
-        for batch in _slices(batches, 1024):
+        for batch in slices(batches, 1024):
             hashes, found = [], []
-            for h, start, chars, part in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                ws = words(part)
+            for h, start, chars, part in zip(*(batch.column(k).to_pylist() for k in range(3)), text_bytes(batch.column(3))):
+                ws = lower_words(part)
                 ends = start + SLICE_CHARS >= chars
                 ws = ws[1 if start else 0 : None if ends else -1]
                 ids, last = [], []
@@ -125,7 +120,7 @@ def fitted(docs: DataFrame, path: str | None = None) -> np.ndarray:
     def run(batches):
         own, seen = net.unflat(start.copy()), 0
         adam = net.Adam(own)
-        for batch in _slices(batches, RATE_BATCH):
+        for batch in slices(batches, RATE_BATCH):
             w = np.stack([np.frombuffer(x, np.int32) for x in batch.column(0).to_pylist()])
             adam.step(net.gradients(own, *net.parts(w))[1], RATE)
             seen += len(w)
@@ -144,12 +139,12 @@ class _Scorer:
     def __init__(self, numbers: np.ndarray, path: str, n: int, v: int):
         self.model, self.encoder, self.n, self.v = net.unflat(numbers), net.subwords(path), n, v
 
-    def block(self, texts: list[str | None], counts: dict[str, int]):
+    def block(self, texts: list[bytes], counts: dict[bytes, int]):
         """n_tokens, n_known, base_score and score of each text; counts has the training counts of their words."""
-        place: dict[str, int] = {TEXT_END: 0}
+        place: dict[bytes, int] = {TEXT_END: 0}
         flat_words, lengths = [], []
         for x in texts:
-            own = [place.setdefault(w, len(place)) for w in words(x)]
+            own = [place.setdefault(w, len(place)) for w in lower_words(x)]
             own.append(0)
             flat_words += own
             lengths.append(len(own))
@@ -208,27 +203,27 @@ def scored(docs: DataFrame, path: str | None = None) -> DataFrame:
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("long")).repartition(blocks, "block")
 
     def own_words(batches):
-        seen: dict[int, set[str]] = {}
-        for batch in _slices(batches, 512):
-            for block, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen.setdefault(block, set()).update(words(x))
+        seen: dict[int, set[bytes]] = {}
+        for batch in slices(batches, 512):
+            for block, x in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
+                seen.setdefault(block, set()).update(lower_words(x))
         for block, own in seen.items():
             own = list(own)
             for k in range(0, len(own), 100_000):
                 part = own[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.array(part, pa.string())], ["block", "word"])
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), _strings(part)], ["block", "word"])
 
     wanted = dealt.select("block", "text").mapInArrow(own_words, "block long, word string")
-    known = wanted.join(counts.filter(F.col("word") != TEXT_END), "word").select("block", "word", "c")
-    ends = counts.filter(F.col("word") == TEXT_END).select("c").first()
+    known = wanted.join(counts.filter(F.col("word") != TEXT_END.decode()), "word").select("block", "word", "c")
+    ends = counts.filter(F.col("word") == TEXT_END.decode()).select("c").first()
     end_count = ends["c"] if ends else 0
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        counts = dict(zip(right.column("word").to_pylist(), right.column("c").to_pylist()))
+        counts = dict(zip(right.column("word").cast(pa.binary()).to_pylist(), right.column("c").to_pylist()))
         counts[TEXT_END] = end_count
         if not left.num_rows:
             return pa.table({"doc_id": left.column("doc_id"), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
-        got = _Scorer(numbers, path, n, v).block(left.column("text").to_pylist(), counts)
+        got = _Scorer(numbers, path, n, v).block(text_bytes(left.column("text")), counts)
         return pa.table({"doc_id": left.column("doc_id"), "n_tokens": pa.array(got[0], pa.int64()), "n_known": pa.array(got[1], pa.int64()), "base_score": pa.array(got[2], pa.float64()), "score": pa.array(got[3], pa.float64())})
 
     rows = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(score, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, n_known long, base_score double, score double")
