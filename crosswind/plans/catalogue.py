@@ -1,8 +1,187 @@
 """Registered queries of the factor engine, with their SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from crosswind.operators import analytics, preprocess, universe
+from crosswind.plans import catalogue_sql as sql
+from crosswind.plans.compiler import evaluate, family_scores
+from crosswind.plans.language import make_factor, parse
+from crosswind.sources import panels
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
 
+def query(name: str, text: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if text:
+            ORACLE_SQL[name] = text
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    """Doubles rounded, and -0 made 0, as in the SQL; what lies half-way is moved up a little, as engines differ there."""
+    return df.select(*((F.round(F.col(c) + 3 * 10.0 ** -(places + 2), places) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def expression_query(name: str, expression: str, text: str, places: int = 6) -> None:
+    def run(spark, sf_dir):
+        return rounded(evaluate(panels.trade_panel(spark, sf_dir), {"v": parse(expression)}).select("ts", "symbol", "v"), places)
+
+    QUERIES[name], ORACLE_SQL[name] = run, text
+
+
+for _query in sql.EXPRESSIONS:
+    expression_query(*_query)
+
+
+@query("panel_ohlcv", sql.PANEL_OHLCV)
+def panel_ohlcv(spark, sf_dir):
+    return rounded(panels.trade_panel(spark, sf_dir))
+
+
+@query("panel_filled", sql.PANEL_FILLED)
+def panel_filled(spark, sf_dir):
+    return rounded(panels.filled(panels.trade_panel(spark, sf_dir)))
+
+
+@query("panel_grid", sql.PANEL_GRID)
+def panel_grid(spark, sf_dir):
+    p = panels.trade_panel(spark, sf_dir)
+    return p.agg(F.count(F.lit(1)).alias("cells"), F.countDistinct("ts").alias("times"), F.countDistinct("symbol").alias("symbols"), F.count("close").alias("filled"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+@query("forward_returns", sql.FORWARD)
+def forward_returns(spark, sf_dir):
+    return rounded(panels.with_forward(panels.trade_panel(spark, sf_dir), 1, 5).select("ts", "symbol", "fwd_1", "fwd_5"))
+
+
+@query("subset_by_date", sql.SUBSET)
+def subset_by_date(spark, sf_dir):
+    p = panels.subset(panels.trade_panel(spark, sf_dir), "1995-01-02", "1996-12-30")
+    return rounded(evaluate(p, {"v": parse("ts_mean(close,5)")}).select("ts", "symbol", "v"))
+
+
+FACTORS = {"momentum": "ts_returns(close,4)", "reversal": "neg(ts_zscore(close,5))", "volume": "cs_rank(divide(volume,ts_mean(volume,5)))"}
+
+
+def judged(spark, sf_dir, config=preprocess.Preprocess(), eligible=None, horizons=(1,), factors=FACTORS):
+    """Long preprocessed scores of a few factors, with forward returns."""
+    panel = panels.with_forward(panels.trade_panel(spark, sf_dir), *horizons)
+    keep = tuple(f"fwd_{h}" for h in horizons)
+    scores = family_scores(panel, [make_factor(k, v) for k, v in factors.items()], keep)
+    return preprocess.preprocessed(scores, config, eligible).withColumn("fwd", F.col(keep[0]))
+
+
+def members(spark, sf_dir):
+    """A made-up membership: a symbol is in from the tenth bar of its own order on, apart from every seventh bar."""
+    p = panels.trade_panel(spark, sf_dir).select("ts", "symbol", "sym_ord")
+    day = F.floor(F.unix_timestamp("ts") / 604800).cast("long")
+    return p.select("ts", "symbol", ((day + F.col("sym_ord")) % 7 != 0).alias("member"))
+
+
+@query("preprocess_default", sql.PREPROCESS)
+def preprocess_default(spark, sf_dir):
+    return rounded(judged(spark, sf_dir).select("factor_id", "ts", "symbol", "score"))
+
+
+@query("preprocess_neutral_lagged", sql.PREPROCESS_LAGGED)
+def preprocess_lagged(spark, sf_dir):
+    return rounded(judged(spark, sf_dir, preprocess.Preprocess(neutralize=True, lag=2)).select("factor_id", "ts", "symbol", "score"))
+
+
+@query("coverage", sql.COVERAGE)
+def coverage_query(spark, sf_dir):
+    scores = family_scores(panels.trade_panel(spark, sf_dir), [make_factor(k, v) for k, v in FACTORS.items()])
+    return rounded(preprocess.coverage(scores))
+
+
+@query("eligibility_pit", sql.ELIGIBILITY)
+def eligibility_pit(spark, sf_dir):
+    return rounded(judged(spark, sf_dir, eligible=universe.eligibility(members(spark, sf_dir))).select("factor_id", "ts", "symbol", "score"))
+
+
+@query("survivorship", sql.SURVIVORSHIP)
+def survivorship(spark, sf_dir):
+    panel = panels.trade_panel(spark, sf_dir)
+    deaths = panel.select("symbol", "sym_ord").distinct().filter("sym_ord % 5 = 0").select("symbol", F.lit("1996-01-01").cast("timestamp").alias("death"))
+    return universe.survivorship_stressed(universe.static(panel), deaths)
+
+
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    """IC statistics of a momentum factor on the monthly panel."""
+    panel = panels.with_forward(panels.trade_panel(spark, sf_dir, "month"), 1)
+    scores = family_scores(panel, [make_factor("momentum", "ts_returns(close,4)")], ("fwd_1",))
+    return rounded(analytics.ic_stats(analytics.ic_series(preprocess.preprocessed(scores).withColumn("fwd", F.col("fwd_1")), "spearman")))
+
+
+@query("ic_pearson", sql.IC_PEARSON)
+def ic_pearson(spark, sf_dir):
+    return rounded(analytics.ic_series(judged(spark, sf_dir)))
+
+
+@query("ic_spearman", sql.IC_SPEARMAN)
+def ic_spearman(spark, sf_dir):
+    return rounded(analytics.ic_series(judged(spark, sf_dir), "spearman"))
+
+
+@query("ic_stats", sql.IC_STATS)
+def ic_stats_query(spark, sf_dir):
+    return rounded(analytics.ic_stats(analytics.ic_series(judged(spark, sf_dir), "spearman")))
+
+
+@query("ic_decay", sql.IC_DECAY)
+def ic_decay_query(spark, sf_dir):
+    return rounded(analytics.ic_decay(judged(spark, sf_dir, horizons=(1, 2, 3, 5, 10))))
+
+
+@query("quantile_buckets", sql.BUCKETS)
+def quantile_buckets(spark, sf_dir):
+    return analytics.quantile_buckets(judged(spark, sf_dir)).select("factor_id", "ts", "symbol", "bucket")
+
+
+@query("quantile_returns", sql.QUANTILE_RETURNS)
+def quantile_returns(spark, sf_dir):
+    return rounded(analytics.quantile_returns(analytics.quantile_buckets(judged(spark, sf_dir))))
+
+
+@query("long_short", sql.LONG_SHORT)
+def long_short(spark, sf_dir):
+    return rounded(analytics.long_short(analytics.quantile_buckets(judged(spark, sf_dir))))
+
+
+@query("turnover", sql.TURNOVER)
+def turnover(spark, sf_dir):
+    return rounded(analytics.turnover(analytics.quantile_buckets(judged(spark, sf_dir))))
+
+
+@query("score_autocorr", sql.AUTOCORR)
+def score_autocorr(spark, sf_dir):
+    return rounded(analytics.score_autocorr(judged(spark, sf_dir)))
+
+
+@query("portfolio_stats", sql.PORTFOLIO)
+def portfolio_stats(spark, sf_dir):
+    return rounded(analytics.portfolio_stats(judged(spark, sf_dir)))
+
+
+@query("backtest", sql.BACKTEST)
+def backtest(spark, sf_dir):
+    scores = judged(spark, sf_dir).withColumn("fwd", F.col("fwd") / 1000)  # the table's prices are drawn anew every week
+    return rounded(analytics.backtest(scores, cost_bps=0.005))
+
+
+@query("cost_sensitivity", sql.COSTS)
+def cost_sensitivity(spark, sf_dir):
+    return rounded(analytics.cost_sensitivity(analytics.portfolio_stats(judged(spark, sf_dir))).select("factor_id", "bps", "net_sharpe"))
+
+
+@query("adv_profile", sql.ADV)
+def adv_profile(spark, sf_dir):
+    return rounded(analytics.adv_profile(panels.trade_panel(spark, sf_dir)), 4)
