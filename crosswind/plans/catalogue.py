@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crosswind.operators import analytics, preprocess, universe
+from crosswind.operators import analytics, dedup, generate, preprocess, registry, robustness, stats, study, universe
 from crosswind.plans import catalogue_sql as sql
 from crosswind.plans.compiler import evaluate, family_scores
 from crosswind.plans.language import make_factor, parse
@@ -185,3 +185,134 @@ def cost_sensitivity(spark, sf_dir):
 @query("adv_profile", sql.ADV)
 def adv_profile(spark, sf_dir):
     return rounded(analytics.adv_profile(panels.trade_panel(spark, sf_dir)), 4)
+
+
+@query("regime_labels", sql.REGIMES)
+def regime_labels(spark, sf_dir):
+    return rounded(robustness.regime_labels(panels.filled(panels.trade_panel(spark, sf_dir)), 20))
+
+
+@query("regime_ic", sql.REGIME_IC)
+def regime_ic(spark, sf_dir):
+    labels = robustness.regime_labels(panels.filled(panels.trade_panel(spark, sf_dir)), 20)
+    return rounded(robustness.regime_ics(analytics.ic_series(judged(spark, sf_dir)), labels))
+
+
+@query("subperiod", sql.SUBPERIOD)
+def subperiod(spark, sf_dir):
+    return rounded(robustness.subperiods(analytics.ic_series(judged(spark, sf_dir))))
+
+
+@query("walk_forward", sql.WALK_FORWARD)
+def walk_forward(spark, sf_dir):
+    return rounded(robustness.walk_forward(analytics.ic_series(judged(spark, sf_dir))))
+
+
+@query("param_sensitivity", sql.SENSITIVITY)
+def param_sensitivity(spark, sf_dir):
+    factors = {str(w): f"ts_mean(close,{w})" for w in (3, 5, 8)}
+    rows = analytics.ic_series(judged(spark, sf_dir, factors=factors)).groupBy("factor_id").agg(F.avg("ic").alias("mean_ic"))
+    return rounded(rows.select(F.col("factor_id").cast("int").alias("w"), "mean_ic"))
+
+
+def p_values(spark, sf_dir):
+    """Made-up p-values, with ties: a family for each nation, a factor for each customer."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return rows.select(F.col("c_nationkey").alias("family"), F.col("c_custkey").alias("factor_id"), (F.pow((F.col("c_custkey") * 7919 % 1000) / F.lit(1000.0), F.lit(3.0))).alias("p"))
+
+
+@query("bh", sql.BH)
+def bh(spark, sf_dir):
+    return rounded(stats.benjamini_hochberg(p_values(spark, sf_dir)).select("family", "factor_id", "rank", "p_fdr", "fdr_reject"))
+
+
+@query("holm", sql.HOLM)
+def holm(spark, sf_dir):
+    return rounded(stats.holm(p_values(spark, sf_dir)).select("family", "factor_id", "rank", "p_holm", "holm_reject"))
+
+
+@query("dsr_moments", sql.MOMENTS)
+def dsr_moments(spark, sf_dir):
+    return rounded(stats.return_moments(analytics.long_short(analytics.quantile_buckets(judged(spark, sf_dir)))))
+
+
+@query("pbo_cscv", sql.CSCV)
+def pbo_cscv(spark, sf_dir):
+    return rounded(stats.cscv_ranks(analytics.long_short(analytics.quantile_buckets(judged(spark, sf_dir))), 6))
+
+
+@query("purged_kfold", sql.PURGED)
+def purged_kfold(spark, sf_dir):
+    """Rows of the weekly panel's timestamps in training, by fold."""
+    times = panels.trade_panel(spark, sf_dir).select("ts").distinct().withColumns({"i": F.row_number().over(Window.orderBy("ts")) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))})
+    rows = times.withColumn("fold", stats.fold_of(F.col("i"), F.col("n"), 5))
+    tests = rows.groupBy("fold").agg(F.min("i").alias("a"), F.max("i").alias("b"))
+    train = rows.select("ts", "i").crossJoin(F.broadcast(tests)).filter((F.col("i") < F.col("a") - 2) | (F.col("i") > F.col("b") + 2 + 3))  # five folds
+    return train.groupBy("fold").agg(F.count(F.lit(1)).alias("n_train"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+@query("cpcv_splits", sql.CPCV)
+def cpcv_splits(spark, sf_dir):
+    """Test and purged training sizes of every combination of two of six groups of 100 bars."""
+    rows = [(k, len(train), len(test), min(test), max(test)) for k, (train, test) in enumerate(stats.cpcv_splits(100, 6, 2, 2, 3))]
+    return spark.createDataFrame(rows, "split int, n_train long, n_test long, first_test long, last_test long")
+
+
+@query("dedup_pairs", sql.DEDUP)
+def dedup_pairs(spark, sf_dir):
+    return rounded(dedup.score_correlations(judged(spark, sf_dir)))
+
+
+@query("capacity", sql.CAPACITY)
+def capacity(spark, sf_dir):
+    """Capacity by supplier from made-up returns, turnovers and volumes."""
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_acctbal").orderBy("s_suppkey")
+    model = analytics.CostModel()
+    fixed = model.fixed(F.lit(0.5))
+    gross = F.abs("s_acctbal") / 1e6
+    c = F.lit(model.impact * 0.02) * F.sqrt(F.lit(0.5 / 10) / (1e6 + F.abs("s_acctbal"))) * 0.5
+    value = F.when(gross <= fixed, 0.0).otherwise(F.pow((gross - fixed) / c, F.lit(2.0)))
+    return rounded(rows.select("s_suppkey", value.alias("capacity_usd")), 2)
+
+
+@query("data_split", sql.SPLIT)
+def data_split(spark, sf_dir):
+    panel = panels.trade_panel(spark, sf_dir)
+    split = registry.split_by_fraction(panel)
+    part = F.when(split.condition("train"), "train").when(split.condition("valid"), "valid").otherwise("test")
+    return panel.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+@query("registry_trial_counts", sql.TRIALS)
+def registry_trial_counts(spark, sf_dir):
+    """Latest status of experiments (orders), counted by family (priority), invalid ones too."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderpriority").alias("family"), F.col("o_custkey").alias("experiment_id"), F.struct("o_orderdate", "o_orderkey").alias("seq"), F.col("o_orderstatus").alias("status"))
+    latest = rows.groupBy("family", "experiment_id").agg(F.max_by("status", "seq").alias("status"))
+    return latest.groupBy("family", "status").agg(F.count(F.lit(1)).alias("trials"))
+
+
+@query("lineage", sql.LINEAGE)
+def lineage(spark, sf_dir):
+    """Chains of parents, each supplier's being the one with half its key."""
+    spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey").createOrReplaceTempView("lineage_nodes")
+    return spark.sql(sql.LINEAGE.replace("supplier", "lineage_nodes"))
+
+
+@query("family_study")
+def family_study(spark, sf_dir):
+    """Decisions on a family of templates over the weekly panel: no SQL, as they rest on t and normal distributions and bootstraps."""
+    specs = generate.from_templates((4, 8))
+    metrics, scores, ls = study.evaluate_family(panels.filled(panels.trade_panel(spark, sf_dir)), specs)
+    p = spark.createDataFrame([("templates", s.factor_id, stats.ic_pvalue(metrics[s.factor_id]["ic_t_stat"], metrics[s.factor_id]["n_periods"])) for s in specs], "family string, factor_id string, p double")
+    facts = spark.createDataFrame([(s.factor_id, dedup.classify(s.tree), metrics[s.factor_id]["mean_ic"], metrics[s.factor_id]["ic_t_stat"], metrics[s.factor_id]["turnover"]) for s in specs], "factor_id string, semantic string, mean_ic double, ic_t_stat double, turnover double")
+    return rounded(facts.join(stats.benjamini_hochberg(p).select("factor_id", "p", "p_fdr", "fdr_reject"), "factor_id"))
+
+
+@query("bootstrap_tests")
+def bootstrap_tests(spark, sf_dir):
+    """Interval, White's and Hansen's p and overfitting probabilities of three factors: seeded draws, which SQL can't make."""
+    rows = analytics.long_short(analytics.quantile_buckets(judged(spark, sf_dir))).groupBy("ts").pivot("factor_id", list(FACTORS)).agg(F.first("ls")).dropna().orderBy("ts").toPandas()
+    m = rows[list(FACTORS)].to_numpy()
+    ci = stats.block_bootstrap(m[:, 0], "sharpe", n_boot=200)
+    got = [("ci_low", ci.low), ("ci_high", ci.high), ("white_rc", stats.reality_check(m, 200)), ("spa", stats.superior_ability(m, 200)), ("pbo_cscv", stats.pbo_cscv(m, 8)[0]), ("pbo_cpcv", stats.pbo_cpcv(m)[0]), ("cpcv_median", stats.cpcv_paths(m[:, 0]).median)]
+    return rounded(spark.createDataFrame(got, "statistic string, value double"))

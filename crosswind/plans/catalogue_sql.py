@@ -195,3 +195,62 @@ SELECT factor_id, count(*) AS n, {r('arg_max(equity, ts) - 1')} AS total_return,
   {r('avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END)')} AS hit_rate, {r('any_value(turnover)')} AS turnover FROM d GROUP BY factor_id"""
 ADV = f"""WITH {P}{RETURNS}, recent AS (SELECT DISTINCT ts FROM p ORDER BY ts DESC LIMIT 63), x AS (SELECT k.*, f / nullif(lag(f) OVER (PARTITION BY symbol ORDER BY ts), 0) - 1 AS ret FROM k WHERE ts IN (SELECT ts FROM recent))
 SELECT symbol, {r('median(volume * close)', 4)} AS adv, {r('stddev_samp(ret)', 4)} AS vol FROM x GROUP BY symbol"""
+
+REG = """, z AS (
+  SELECT *, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS kn FROM p
+), zr AS (SELECT *, kn / nullif(lag(kn) OVER (PARTITION BY symbol ORDER BY ts), 0) - 1 AS rt FROM z),
+zv AS (SELECT ts, CASE WHEN count(rt) OVER w = 20 THEN stddev_samp(rt) OVER w END AS vv FROM zr WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+mk AS (SELECT ts, avg(vv) AS vol FROM zv GROUP BY ts HAVING vol IS NOT NULL),
+ct AS (SELECT quantile_cont(vol, 1.0 / 3) AS lo, quantile_cont(vol, 2.0 / 3) AS hi FROM mk),
+lb AS (SELECT ts, vol, CASE WHEN vol <= lo THEN 'low' WHEN vol <= hi THEN 'mid' ELSE 'high' END AS regime FROM mk, ct)"""
+REGIMES = f"WITH {P}{REG} SELECT ts, {r('vol')} AS vol, regime FROM lb"
+ICS = f"{IC}, i AS ({ics('pairs')})"
+REGIME_IC = f"WITH {ICS}{REG} SELECT factor_id, regime, count(*) AS n, {r('avg(ic)')} AS mean_ic FROM i JOIN lb USING (ts) GROUP BY factor_id, regime"
+
+
+def fold(row: str, n: str, k: int) -> str:
+    """Which of k parts, the first n % k one longer, a row (from 0) is in."""
+    b, rest = f"({n} // {k})", f"({n} % {k})"
+    return f"(CASE WHEN {row} < {rest} * ({b} + 1) THEN {row} // ({b} + 1) ELSE {rest} + ({row} - {rest} * ({b} + 1)) // greatest({b}, 1) END)::INT"
+
+
+NUMBERED = f"{ICS}, nb AS (SELECT *, row_number() OVER (PARTITION BY factor_id ORDER BY ts) - 1 AS k, count(*) OVER (PARTITION BY factor_id) AS n FROM i)"
+SUBPERIOD = f"WITH {NUMBERED}, fo AS (SELECT *, {fold('k', 'n', 4)} AS fold FROM nb) SELECT factor_id, fold, count(*) AS n, {r('avg(ic)')} AS mean_ic FROM fo GROUP BY factor_id, fold"
+WALK_FORWARD = f"""WITH {NUMBERED}, sk AS (SELECT *, floor(n * 0.3::DOUBLE)::BIGINT AS s FROM nb), fo AS (SELECT *, {fold('(k - s)', '(n - s)', 5)} AS "window" FROM sk WHERE k >= s)
+SELECT factor_id, "window", count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, {r('avg(ic)')} AS mean_ic FROM fo GROUP BY factor_id, "window" """
+SENS_RAW = f"""{P}, raw AS (""" + " UNION ALL ".join(f"SELECT '{n}' AS factor_id, ts, symbol, sym_ord, CASE WHEN count(close) OVER w = {n} THEN avg(close) OVER w END AS score, lead(close) OVER o / nullif(close, 0) - 1 AS fwd_1 FROM p {w(n)}" for n in (3, 5, 8)) + ")"
+SENSITIVITY = f"""WITH {SENS_RAW}{preprocessed()}, pairs AS (SELECT factor_id, ts, score AS x, fwd AS y FROM s WHERE score IS NOT NULL AND fwd IS NOT NULL), i AS ({ics('pairs')})
+SELECT factor_id::INT AS w, {r('avg(ic)')} AS mean_ic FROM i GROUP BY factor_id"""
+PV = "pv AS (SELECT c_nationkey AS family, c_custkey AS factor_id, pow((c_custkey * 7919 % 1000) / 1000.0::DOUBLE, 3.0) AS p FROM customer), rk AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p, factor_id) AS rank, count(*) OVER (PARTITION BY family) AS m FROM pv)"
+BH = f"WITH {PV}, a AS (SELECT *, least(min(p * m / rank) OVER (PARTITION BY family ORDER BY rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1.0) AS q FROM rk) SELECT family, factor_id, rank::INT AS rank, {r('q')} AS p_fdr, q <= 0.05 AS fdr_reject FROM a"
+HOLM = f"WITH {PV}, a AS (SELECT *, least(max(p * (m - rank + 1)) OVER (PARTITION BY family ORDER BY rank ROWS UNBOUNDED PRECEDING), 1.0) AS q FROM rk) SELECT family, factor_id, rank::INT AS rank, {r('q')} AS p_holm, q <= 0.05 AS holm_reject FROM a"
+MOMENTS = f"""WITH {B}, c AS (SELECT *, avg(ls) OVER (PARTITION BY factor_id) AS m FROM ls), mo AS (
+  SELECT factor_id, count(*) AS n, any_value(m) AS m, stddev_samp(ls) AS sd, avg(pow(ls - m, 2)) AS m2, avg(pow(ls - m, 3)) AS m3, avg(pow(ls - m, 4)) AS m4 FROM c GROUP BY factor_id)
+SELECT factor_id, n, {r('m / nullif(sd, 0)')} AS sr, {r('m3 / pow(m2, 1.5)')} AS skew, {r('m4 / (m2 * m2)')} AS kurt FROM mo"""
+CSCV = f"""WITH {B}, tm AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT ts FROM ls)),
+bl AS (SELECT factor_id, ls, {fold('k', 'n', 6)} AS block FROM ls JOIN tm USING (ts)),
+cb AS (SELECT row_number() OVER (ORDER BY a, b, c) - 1 AS split, a, b, c FROM range(6) x(a), range(6) y(b), range(6) z(c) WHERE a < b AND b < c),
+sr AS (SELECT split, block IN (a, b, c) AS inside, factor_id, avg(ls) / nullif(stddev_samp(ls), 0) AS sr FROM bl, cb GROUP BY ALL),
+be AS (SELECT split, arg_max(factor_id, sr) AS best FROM sr WHERE inside GROUP BY split),
+ou AS (SELECT sr.split, best, factor_id, sr, max(CASE WHEN factor_id = best THEN sr END) OVER (PARTITION BY sr.split) AS own FROM sr JOIN be USING (split) WHERE NOT inside)
+SELECT split::INT AS split, best, {r('sum(CASE WHEN sr <= own THEN 1.0 ELSE 0.0 END) / (count(*) + 1)')} AS rank FROM ou GROUP BY split, best"""
+PURGED = f"""WITH {P}, tm AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT ts FROM p)), fo AS (SELECT *, {fold('i', 'n', 5)} AS fold FROM tm),
+te AS (SELECT fold, min(i) AS a, max(i) AS b FROM fo GROUP BY fold)
+SELECT te.fold, count(*) AS n_train, min(ts) AS first_ts, max(ts) AS last_ts FROM fo, te WHERE i < a - 2 OR i > b + 5 GROUP BY te.fold"""
+CPCV = f"""WITH ix AS (SELECT i, {fold('i', '100', 6)} AS g FROM range(100) x(i)), gr AS (SELECT g, min(i) AS a, max(i) AS b FROM ix GROUP BY g),
+cb AS (SELECT row_number() OVER (ORDER BY x.g, y.g) - 1 AS split, x.a AS a1, x.b AS b1, y.a AS a2, y.b AS b2 FROM gr x, gr y WHERE x.g < y.g)
+SELECT split::INT AS split, count(*) FILTER (WHERE NOT (i BETWEEN a1 - 2 AND b1 + 5) AND NOT (i BETWEEN a2 - 2 AND b2 + 5)) AS n_train, count(*) FILTER (WHERE i BETWEEN a1 AND b1 OR i BETWEEN a2 AND b2) AS n_test,
+  min(a1) AS first_test, max(b2) AS last_test FROM cb, ix GROUP BY split"""
+DEDUP = f"""WITH {S}, v AS (SELECT * FROM s WHERE score IS NOT NULL), pr AS (SELECT x.factor_id AS a, y.factor_id AS b, x.score AS x, y.score AS y FROM v x JOIN v y ON x.ts = y.ts AND x.symbol = y.symbol AND x.factor_id < y.factor_id)
+SELECT a, b, count(*) AS overlap, {r(f'CASE WHEN count(*) >= 30 THEN {CORR} END')} AS rho FROM pr GROUP BY a, b"""
+CAPACITY = f"""WITH c AS (SELECT s_suppkey, abs(s_acctbal) / 1e6 AS g, 3.0 / 1e4 * 0.5 + 50.0 / 1e4 / 252 AS f, 0.1 * 0.02 * sqrt(0.05 / (1e6 + abs(s_acctbal))) * 0.5 AS c FROM supplier)
+SELECT s_suppkey, {r('CASE WHEN g <= f THEN 0.0 ELSE pow((g - f) / c, 2.0) END', 2)} AS capacity_usd FROM c"""
+SPLIT = f"""WITH {P}, tm AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT ts FROM p)),
+cu AS (SELECT max(CASE WHEN k <= floor(n * 0.6::DOUBLE) - 1 THEN ts END) AS a, max(CASE WHEN k <= floor(n * 0.8::DOUBLE) - 1 THEN ts END) AS b FROM tm)
+SELECT CASE WHEN ts <= a THEN 'train' WHEN ts <= b THEN 'valid' ELSE 'test' END AS part, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM p, cu GROUP BY part"""
+TRIALS = "SELECT family, status, count(*) AS trials FROM (SELECT o_orderpriority AS family, o_custkey, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS status FROM orders GROUP BY family, o_custkey) GROUP BY family, status"
+LINEAGE = """WITH RECURSIVE chain(start, node, depth) AS (
+  SELECT s_suppkey, s_suppkey, 0 FROM supplier
+  UNION ALL SELECT start, CAST(floor(node / 2) AS BIGINT), depth + 1 FROM chain WHERE node > 1
+)
+SELECT start, max(depth) AS generations, min(node) AS root FROM chain GROUP BY start"""
