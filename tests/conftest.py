@@ -12,7 +12,7 @@ def spark():
     from pyspark.sql import SparkSession
 
     session = (
-        SparkSession.builder.master("local[4]")
+        SparkSession.builder.master("local[2]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.driver.memory", "6g")
         .config("spark.ui.enabled", "false")
@@ -31,6 +31,7 @@ def same(spark):
 
     def check(name, sf_dir=SMALL):
         import duckdb
+        import pandas as pd
 
         import __spark_entry__ as entry
 
@@ -41,7 +42,7 @@ def same(spark):
         assert sorted(got.columns) == sorted(want.columns)
 
         def rows(df):
-            plain = lambda v: None if v is None or v != v else round(float(v), 6) + 0.0 if isinstance(v, float) else int(v) if hasattr(v, "__index__") and not isinstance(v, bool) else str(v)
+            plain = lambda v: None if v is None or pd.isna(v) else round(float(v), 6) + 0.0 if isinstance(v, float) else int(v) if hasattr(v, "__index__") and not isinstance(v, bool) else str(v)
             return sorted((tuple(plain(v) for v in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False)), key=str)
 
         number = lambda v: float(v) if isinstance(v, int) and not isinstance(v, bool) else v
