@@ -37,7 +37,22 @@ def subwords(path: str):
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     ranks = {a: b for a, b in ranks.items() if b < IDS - 1}
-    return tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=r" [^ ]*|[^ ]+", mergeable_ranks=ranks, special_tokens={})
+
+
+@cache
+def begins_word(path: str) -> np.ndarray:
+    """Which ids begin with a space."""
+    encoder = subwords(path)
+    return np.array([encoder.decode_single_token_bytes(i)[:1] == b" " for i in range(IDS - 1)])
+
+
+def word_ids(path: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of words without spaces, each behind a space, one after the other, and how many each has."""
+    if not words:
+        return np.empty(0, np.int32), np.empty(0, np.int64)
+    ids = np.array(subwords(path).encode_ordinary((b" " + b" ".join(words)).decode()), np.int32)
+    return ids, np.diff(np.r_[np.flatnonzero(begins_word(path)[ids]), len(ids)])
 
 
 def initial(seed: int = 1) -> dict[str, np.ndarray]:
@@ -92,10 +107,10 @@ def log_probs(m: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
     x = np.take(m["embed"], inputs, axis=0)
     x += m["place"]
     xq = x[:, CONTEXT:]
-    two = np.ascontiguousarray(x).reshape(-1, WIDTH)
-    k = (two @ m["k"]).reshape(x.shape)
+    both = (x.reshape(-1, WIDTH) @ np.concatenate([m["k"], m["v"]], axis=1)).reshape(*inputs.shape, 2 * WIDTH)
+    k = both[..., :WIDTH]
     v = np.empty((*inputs.shape, WIDTH + 1), np.float32)
-    v[..., :WIDTH] = (two @ m["v"]).reshape(x.shape)
+    v[..., :WIDTH] = both[..., WIDTH:]
     v[..., WIDTH] = 1
     if (nothing := inputs == NOTHING).any():
         v[nothing] = 0
@@ -107,15 +122,13 @@ def log_probs(m: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
     h = (a @ v).reshape(-1, WIDTH + 1)
     u = xq.reshape(-1, WIDTH) + (h[:, :WIDTH] / np.maximum(h[:, WIDTH:], np.float32(1e-30))) @ m["o"]
     t, last = targets.ravel(), last.ravel()
-    at = np.argsort(t // MEMBERS, kind="stable")  # by class; NOTHING last
-    at = at[: np.searchsorted(t[at] // MEMBERS, CLASSES)]
-    at = at[t[at] != NOTHING]
-    u, t, last = u[at], t[at], last[at]
+    c = (t // MEMBERS).astype(np.int16)  # radix sort
+    bounds = np.r_[0, np.cumsum(np.bincount(c, minlength=CLASSES + 1)[:CLASSES])]
+    at = np.argsort(c, kind="stable")[: bounds[-1]]  # by class, without NOTHING
+    u, t, last, c = u[at], t[at], last[at], c[at]
     z = u @ m["w1"]
     z += m["b1"]
     u += np.maximum(z, 0, out=z) @ m["w2"]
-    c = t // MEMBERS
-    bounds = np.searchsorted(c, np.arange(CLASSES + 1))
     logits = u @ m["classes"].T
     logits += m["class_bias"]
     np.minimum(logits, 80, out=logits)

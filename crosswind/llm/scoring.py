@@ -62,10 +62,6 @@ def _strings(words) -> pa.Array:
     return pa.array(list(words), pa.binary()).cast(pa.string())
 
 
-def _word_ids(encoder, word: bytes) -> list[int]:
-    return encoder.encode_ordinary(" " + word.decode())
-
-
 def _training_windows(docs: DataFrame, path: str) -> DataFrame:
     """A window (bytes of 32-bit numbers) of each training document, at a place told by a hash of its id; and that hash.
 
@@ -79,24 +75,20 @@ def _training_windows(docs: DataFrame, path: str) -> DataFrame:
     rows = train.select(hashed.alias("hash"), start.alias("start"), F.length(text).alias("chars"), F.substring(text, start + 1, F.lit(SLICE_CHARS)).alias("part"))
 
     def run(batches):
-        encoder = net.subwords(path)
         for batch in slices(batches, 1024):
             hashes, found = [], []
             for h, start, chars, part in zip(*(batch.column(k).to_pylist() for k in range(3)), text_bytes(batch.column(3))):
                 ws = lower_words(part)
                 ends = start + SLICE_CHARS >= chars
                 ws = ws[1 if start else 0 : None if ends else -1]
-                ids, last = [], []
-                for w in ws:
-                    own = _word_ids(encoder, w)
-                    ids += own
-                    last += [0] * (len(own) - 1) + [1]
+                ids, sizes = net.word_ids(path, ws)
+                last = np.zeros(len(ids), np.int32)
+                last[np.cumsum(sizes) - 1] = 1
                 if ends:
-                    ids.append(net.END)
-                    last.append(1)
-                if not ids:
+                    ids, last = np.append(ids, np.int32(net.END)), np.append(last, np.int32(1))
+                if not len(ids):
                     continue
-                own = net.windows_of(np.array(ids), np.array(last), begins=not start)
+                own = net.windows_of(ids, last, begins=not start)
                 own = own[1:] if start else own  # the first has no context, though the text has
                 if len(own):
                     hashes.append(h)
@@ -137,7 +129,7 @@ def fitted(docs: DataFrame, path: str | None = None) -> np.ndarray:
 
 class _Scorer:
     def __init__(self, numbers: np.ndarray, path: str, n: int, v: int):
-        self.model, self.encoder, self.n, self.v = net.unflat(numbers), net.subwords(path), n, v
+        self.model, self.path, self.n, self.v = net.unflat(numbers), path, n, v
 
     def block(self, texts: list[bytes], counts: dict[bytes, int]):
         """n_tokens, n_known, base_score and score of each text; counts has the training counts of their words."""
@@ -150,10 +142,11 @@ class _Scorer:
             lengths.append(len(own))
         word = np.array(flat_words, np.int64)
         del flat_words
-        ids = [[net.END], *(_word_ids(self.encoder, w) for w in list(place)[1:])]
-        sizes = np.array([len(x) for x in ids])
+        distinct = list(place)[1:]
+        parts = [net.word_ids(self.path, distinct[k : k + 20_000]) for k in range(0, len(distinct), 20_000)]
+        every = np.concatenate([np.array([net.END], np.int32), *(x for x, _ in parts)])
+        sizes = np.concatenate([np.array([1]), *(x for _, x in parts)])
         begins = np.r_[0, np.cumsum(sizes)[:-1]]
-        every = np.fromiter((i for x in ids for i in x), np.int32, int(sizes.sum()))
         last = np.zeros(len(every), np.int32)
         last[begins + sizes - 1] = 1
         c = np.array([counts.get(w, 0) for w in place], np.float64)
