@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosswind.llm.common import ASCII_LOWER, SPACE, checkpointed
+from crosswind.llm.common import checkpointed, lower_words, slices, text_bytes
 from crosswind.llm.components import components
 
 SHINGLE = 4
@@ -32,15 +32,12 @@ GENERATOR = 0b101011100011
 #: Fingerprints with one key that one task compares; larger sets are split into blocks, and every two blocks compared.
 BLOCK = 1 << 16
 
-_spaces = str.maketrans(dict.fromkeys(SPACE, " "))
-
-
-def fingerprint(text: str | None) -> int:
+def fingerprint(text: bytes | str | None) -> int:
     """Bits that are set in over half the shingle hashes; zero without words."""
-    words = (text or "").translate(ASCII_LOWER).translate(_spaces).split(" ")
-    data = " ".join(words := [w for w in words if w]).encode()
+    words = lower_words(text.encode() if isinstance(text, str) else text or b"")
     if not words:
         return 0
+    data = b" ".join(words)
     if len(words) <= SHINGLE:
         return xxhash.xxh64_intdigest(data, SEED)
     raw = np.frombuffer(data, np.uint8)
@@ -173,11 +170,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """id_col and bits (the fingerprint as a signed long) of every row; row-wise, no shuffle. A null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, 1024):
-                batch = whole.slice(k, 1024)
-                bits = np.array([fingerprint(x) for x in batch.column(1).to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits.view(np.int64))], [id_col, "bits"])
+        for batch in slices(batches, 1024):
+            bits = np.array([fingerprint(x) for x in text_bytes(batch.column(1))], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits.view(np.int64))], [id_col, "bits"])
 
     rows = docs.select(F.col(id_col), F.col(text_col))
     return rows.mapInArrow(run, f"{id_col} {dict(rows.dtypes)[id_col]}, bits long")
@@ -191,11 +186,10 @@ def links(bits: DataFrame) -> DataFrame:
     """
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 8192):
-                values = batch.column(0).slice(k, 8192).to_numpy().view(np.uint64)
-                rows, keys = join_keys(values)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(values[rows].view(np.int64))], ["key", "bits"])
+        for batch in slices(batches, 8192):
+            values = batch.column(0).to_numpy().view(np.uint64)
+            rows, keys = join_keys(values)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(values[rows].view(np.int64))], ["key", "bits"])
 
     def link(rows: DataFrame, *by: str) -> DataFrame:
         dealt = rows.repartition(*by).sortWithinPartitions(*by)
