@@ -149,3 +149,17 @@ def test_passage_query_joins_all_that_share_fifty_words(spark):
         for k in range(len(w) - 49):
             shared[tuple(w[k : k + 50])].add(got[i])
     assert shared and all(len(c) == 1 for c in shared.values())
+
+
+def test_passage_of_two_lines_that_stand_alone_in_earlier_texts(spark):
+    rng = random.Random(11)
+    rows, want = [], []
+    for k in range(25):
+        one, two = made(rng, 30), made(rng, 30)
+        alone = [made(rng, 60) + x + made(rng, 60) for _ in range(20) for x in (one, two)]
+        pair = [made(rng, 60) + one + two + made(rng, 60) for _ in range(2)]
+        at = 100 * k
+        rows += [(at + j, " ".join(x)) for j, x in enumerate(alone + pair)]
+        want.append((at + len(alone), at + len(alone) + 1))
+    found, _ = passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r.a, r.b) for r in found.collect()} == set(want)
