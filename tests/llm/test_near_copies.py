@@ -163,3 +163,16 @@ def test_passage_of_two_lines_that_stand_alone_in_earlier_texts(spark):
         want.append((at + len(alone), at + len(alone) + 1))
     found, _ = passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {(r.a, r.b) for r in found.collect()} == set(want)
+
+
+def test_change_near_an_edge_of_a_passage():
+    rng = random.Random(12)
+    shingles = passages.Shingles()
+    for n, at in ((52, 7), (54, 9), (56, 11), (52, 44), (54, 44)):
+        p = made(rng, n)
+        x, y = (shingles(" ".join(made(rng, 60) + w + made(rng, 60)).encode()) for w in (p, [*p[:at], "changed", *p[at + 1 :]]))
+        common = [k for k in range(60, 60 + n - 4) if x[k] == y[k]]
+        assert all(passages.common_passages(x, y, [(k, k)], 46) == [(60, 56 + n, 60, 56 + n)] for k in common)
+    few = made(rng, 44)
+    x, y = (shingles(" ".join(made(rng, 60) + few + made(rng, 60)).encode()) for _ in range(2))
+    assert passages.common_passages(x, y, [(70, 70)], 46) == []
