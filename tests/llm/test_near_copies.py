@@ -161,7 +161,7 @@ def test_passage_of_two_lines_that_stand_alone_in_earlier_texts(spark):
         at = 100 * k
         rows += [(at + j, " ".join(x)) for j, x in enumerate(alone + pair)]
         want.append((at + len(alone), at + len(alone) + 1))
-    found, _ = passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    found, *_ = passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {(r.a, r.b) for r in found.collect()} == set(want)
 
 
@@ -176,3 +176,16 @@ def test_change_near_an_edge_of_a_passage():
     few = made(rng, 44)
     x, y = (shingles(" ".join(made(rng, 60) + few + made(rng, 60)).encode()) for _ in range(2))
     assert passages.common_passages(x, y, [(70, 70)], 46) == []
+
+
+def test_every_partner_counts(spark):
+    rng = random.Random(13)
+    p, q = made(rng, 60), made(rng, 70)
+    rows = {i: made(rng, 40) + (p if i <= 40 else []) + made(rng, 30) + (q if i % 4 == 0 else []) + made(rng, 20) for i in range(1, 61)}
+    rows[61] = made(rng, 30) + p[:20] + made(rng, 1) + p[21:]
+    got = {r.doc_id: r.n_links for r in passages.document_passages(spark.createDataFrame([(i, " ".join(x)) for i, x in rows.items()], "doc_id long, text string")).collect()}
+    with_p, with_q = set(range(1, 41)), set(range(4, 61, 4))
+    for i in with_p | with_q:
+        want = len(((with_p if i in with_p else set()) | (with_q if i in with_q else set())) - {i})
+        assert got[i] in ((want, want + 1) if i in with_p else (want,))
+    assert got[61] >= 1 and all(got[i] == 0 for i in range(41, 61) if i % 4)
