@@ -4,9 +4,9 @@ A text is its words, each with its end, then an end. A word's probability mixes
 the word, the last marked as such) with its share of all training tokens, for words that training has:
 (1 - SHARE) * attention + SHARE * c / N. Either is a distribution over words, so the mixture is one.
 
-Word counts cover every training document. The attention model is first fitted on at most WARM_WINDOWS windows, on the
-driver, then on a window of every training document (more of each where there are fewer documents than that), each partition on its own; partitions' models are averaged, weighted
-by their windows. Scoring deals documents, by a hash of their ids, into blocks of about BLOCK_BYTES and gives each block the
+Word counts cover every training document. The attention model starts from a fit on at most WARM_WINDOWS windows, on the
+driver, and then learns from every window of every training document, each partition on its own; partitions' models are
+averaged, weighted by their windows. Scoring deals documents, by a hash of their ids, into blocks of about BLOCK_BYTES and gives each block the
 counts of its own words only.
 """
 
@@ -27,6 +27,8 @@ SHARE = 0.4
 WARM_WINDOWS, WARM_PASSES, WARM_RATE, WARM_BATCH, RATE, RATE_BATCH = 49_152, 2, 1e-2, 128, 1e-3, 64
 BLOCK_BYTES = 24 << 20
 SLICE_CHARS = 240
+#: Windows that are shuffled before they are learnt, so that a batch has those of several texts.
+SHUFFLED = 8192
 #: Windows scored together: their arrays stay in the processor's cache.
 BATCH = 384
 
@@ -63,7 +65,7 @@ def _strings(words) -> pa.Array:
 
 
 def _training_windows(docs: DataFrame, path: str) -> DataFrame:
-    """A window (bytes of 32-bit numbers) of each training document, at a place told by a hash of its id; and that hash.
+    """For the start: a window (bytes of 32-bit numbers) of each training document, at a place told by a hash of its id; and that hash.
 
     Where there are fewer documents than WARM_WINDOWS, as many windows of each as make up that number."""
     train = docs.filter(~held_out(F.col("doc_id")) | F.col("doc_id").isNull())
@@ -98,31 +100,51 @@ def _training_windows(docs: DataFrame, path: str) -> DataFrame:
     return rows.mapInArrow(run, "hash long, window binary")
 
 
-def fitted(docs: DataFrame, path: str | None = None) -> np.ndarray:
-    """The model's numbers, learnt from the training documents. What reaches the driver is bounded by WARM_WINDOWS and the model's size."""
-    path = path or net.vocabulary_path()
-    windows = checkpointed(_training_windows(docs, path))
-    warm = windows.orderBy("hash", "window").limit(WARM_WINDOWS).select("window").toArrow()
-    model = net.initial()
-    if not warm.num_rows:
-        return net.flat(model)
-    net.train(model, np.stack([np.frombuffer(x, np.int32) for x in warm.column(0).to_pylist()]), WARM_RATE, WARM_PASSES, WARM_BATCH)
-    start = net.flat(model)
+def learnt(docs: DataFrame, start: np.ndarray, path: str) -> DataFrame:
+    """numbers and seen for each partition of the training documents: the model after all windows of all its texts, and how many these are."""
 
     def run(batches):
-        own, seen = net.unflat(start.copy()), 0
+        own, seen, rng = net.unflat(start.copy()), 0, np.random.default_rng(5)
         adam = net.Adam(own)
-        for batch in slices(batches, RATE_BATCH):
-            w = np.stack([np.frombuffer(x, np.int32) for x in batch.column(0).to_pylist()])
-            adam.step(net.gradients(own, *net.parts(w))[1], RATE)
-            seen += len(w)
+        held, n = [], 0
+
+        def step(held):
+            w = np.concatenate(held)
+            w = w[rng.permutation(len(w))]
+            for k in range(0, len(w), RATE_BATCH):
+                adam.step(net.gradients(own, *net.parts(w[k : k + RATE_BATCH]))[1], RATE)
+
+        for batch in slices(batches, 256):
+            for text in text_bytes(batch.column(0)):
+                ids, sizes = net.word_ids(path, lower_words(text))
+                last = np.zeros(len(ids), np.int32)
+                last[np.cumsum(sizes) - 1] = 1
+                held.append(net.windows_of(np.append(ids, np.int32(net.END)), np.append(last, np.int32(1))))
+                n += len(held[-1])
+                if n >= SHUFFLED:
+                    step(held)
+                    seen, held, n = seen + n, [], 0
+        if n:
+            step(held)
+            seen += n
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([net.flat(own)], pa.list_(pa.float32())), pa.array([seen], pa.int64())], ["numbers", "seen"])
 
-    each = windows.select("window").mapInArrow(run, "numbers array<float>, seen long")
+    return docs.filter(~held_out(F.col("doc_id")) | F.col("doc_id").isNull()).select("text").mapInArrow(run, "numbers array<float>, seen long")
+
+
+def fitted(docs: DataFrame, path: str | None = None) -> np.ndarray:
+    """The model's numbers, learnt from the training documents. What reaches the driver is bounded by WARM_WINDOWS and the model's size."""
+    path = path or net.vocabulary_path()
+    warm = _training_windows(docs, path).orderBy("hash", "window").limit(WARM_WINDOWS).select("window").toArrow()
+    model = net.initial()
+    if warm.num_rows:
+        net.train(model, np.stack([np.frombuffer(x, np.int32) for x in warm.column(0).to_pylist()]), WARM_RATE, WARM_PASSES, WARM_BATCH)
+    start = net.flat(model)
+    each = learnt(docs, start, path)
     sums = each.select(F.posexplode("numbers").alias("place", "x"), "seen").groupBy("place").agg((F.sum(F.col("x").cast("double") * F.col("seen")) / F.sum("seen")).cast("float").alias("x"))
     got = sums.toArrow()
-    numbers = np.empty_like(start)
+    numbers = start.copy()
     numbers[got.column("place").to_numpy()] = got.column("x").to_numpy()
     return numbers
 

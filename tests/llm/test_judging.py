@@ -93,6 +93,19 @@ def test_scores_of_odd_rows(spark, monkeypatch):
     assert scoring.scored(docs.filter("false")).count() == 0
 
 
+def test_model_learns_from_every_window(spark):
+    path = attention.vocabulary_path()
+    rows = [(i, "the cat sat on the mat " * (20 * i)) for i in range(1, 30)] + [(None, "the cat"), (31, None), (32, "")]
+    want = 0
+    for i, x in rows:
+        if i is None or zlib.crc32(str(i).encode()) % 7 != 2:
+            want += -(-(len(attention.word_ids(path, (x or "").encode().split())[0]) + 1) // attention.STRIDE)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    start = attention.flat(attention.initial())
+    got = scoring.learnt(docs, start, path).collect()
+    assert sum(r.seen for r in got) == want and all((np.array(r.numbers, np.float32) != start).any() for r in got)
+
+
 # quality
 
 
