@@ -31,9 +31,9 @@ NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 #: Candidate spans and the kind they become.
 GENERATORS = {
     "secret": r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+",
-    "keyed": r"(?i)(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key|key)\x20?[=:]\x20?[^\x00-\x20]{4,64}+",
+    "keyed": r"(?i)(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key|key)\x20?[=:]\x20?[^\x00-\x20]{4,}+",
     "number": r"(?<![0-9A-Za-z+])(?:\([0-9]{3}\)|[0-9]{3})[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z])",
-    "address": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\]|\{at\})\x20?[a-z0-9-]{1,63}(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[a-z0-9-]{1,63})++",
+    "address": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++\x20?(?:\(at\)|\[at\]|\{at\})\x20?[a-z0-9-]{1,63}(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[a-z0-9-]{1,63})++",
 }
 FEATURES = ["kind", "chars", "digits", "upper", "lower", "other", "hex_only", "switches", "distinct", "cue_before", "quote_before", "equals", "alone"]
 CUES = r"(?i)(?:password|passwd|pwd|secret|token|key|bearer|login|phone|tel|fax|call|ssn|mail|contact)[^a-z]{0,4}$"

@@ -236,3 +236,10 @@ def test_pipeline_against_its_stages_in_python(spark):
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in ones.collect()} - hit
     final = corpus_pipeline.run(spark, SMALL).collect()
     assert {r.doc_id for r in final} == {r.doc_id for r in clean.collect()} and all(r.exact is not False for r in final)
+
+
+def test_long_values_are_spanned_to_their_end(spark):
+    value, name = "a!" * 60, "x" * 90
+    for kind, text, end in (("keyed", f"password={value} rest", 129), ("address", f"{name} (at) example (dot) org", None)):
+        found = spark.createDataFrame([(text,)], "text string").select(private._spans(private.F.col("text"), private.GENERATORS[kind]).alias("s")).first().s
+        assert [(x["from"], x["to"]) for x in found] == [(0, end or len(text))]
