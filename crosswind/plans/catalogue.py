@@ -313,6 +313,6 @@ def bootstrap_tests(spark, sf_dir):
     """Interval, White's and Hansen's p and overfitting probabilities of three factors: seeded draws, which SQL can't make."""
     rows = analytics.long_short(analytics.quantile_buckets(judged(spark, sf_dir))).groupBy("ts").pivot("factor_id", list(FACTORS)).agg(F.first("ls")).dropna().orderBy("ts").toPandas()
     m = rows[list(FACTORS)].to_numpy()
-    ci = stats.block_bootstrap(m[:, 0], "sharpe", n_boot=200)
-    got = [("ci_low", ci.low), ("ci_high", ci.high), ("white_rc", stats.reality_check(m, 200)), ("spa", stats.superior_ability(m, 200)), ("pbo_cscv", stats.pbo_cscv(m, 8)[0]), ("pbo_cpcv", stats.pbo_cpcv(m)[0]), ("cpcv_median", stats.cpcv_paths(m[:, 0]).median)]
+    ci = stats.block_bootstrap(m[:, 0], "sharpe")
+    got = [("ci_low", ci.low), ("ci_high", ci.high), ("white_rc", stats.reality_check(m)), ("spa", stats.superior_ability(m)), ("pbo_cscv", stats.pbo_cscv(m)[0]), ("pbo_cpcv", stats.pbo_cpcv(m)[0]), ("cpcv_median", stats.cpcv_paths(m[:, 0]).median)]
     return rounded(spark.createDataFrame(got, "statistic string, value double"))

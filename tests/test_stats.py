@@ -74,3 +74,13 @@ def test_gates_in_order():
     assert decide(good, False, False, 0.9, None)[0] == State.REJECTED_ROBUSTNESS
     assert decide(good, False, True, 0.9, 0.1)[0] == State.RESEARCH_SURVIVOR
     assert decide({"mean_ic": math.nan, "ic_t_stat": math.nan}, False, True, math.nan, None)[0] == State.RESEARCH_SURVIVOR
+
+
+def test_bootstrap_query_keeps_the_defaults():
+    import inspect
+
+    from crosswind.plans import catalogue
+
+    source = inspect.getsource(catalogue.bootstrap_tests)
+    assert "n_boot" not in source
+    assert all(f"stats.{x}(m)" in source for x in ("reality_check", "superior_ability", "pbo_cscv"))
