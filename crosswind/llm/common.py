@@ -55,3 +55,29 @@ def sized_parts(df: DataFrame, bytes_per_part: int = 32 << 20, text: str = "text
     total = df.select(F.sum(F.octet_length(F.col(text))).alias("n")).first()["n"] or 0
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, -(-total // bytes_per_part))
+
+
+#: A key with more than this share of the rows is dealt to SPREAD tasks; there are fewer than 1 / HOT such keys, whatever the input.
+HOT, SPREAD = 1 / 1000, 64
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, n: str, by: Column) -> DataFrame:
+    """rows joined to facts, which has one row for each key and how many rows have it in n; ``by`` deals the rows of hot keys.
+
+    The hot keys - fewer than 1 / HOT by definition - are broadcast to mark rows; their facts are repeated for each of SPREAD salts.
+    """
+    total = facts.agg(F.sum(n)).first()[0] or 0
+    hot = F.broadcast(facts.filter(F.col(n) > F.lit(total * HOT + SPREAD)).select(key, F.lit(True).alias("hot_key")))
+    salted = rows.withColumn("spread_by", by).join(hot, key, "left")
+    salted = salted.withColumn("salt", F.when(F.col("hot_key"), F.pmod("spread_by", F.lit(SPREAD))).otherwise(F.lit(0)).cast("int")).drop("hot_key", "spread_by")
+    copies = facts.withColumn("salt", F.explode(F.when(F.col(n) > F.lit(total * HOT + SPREAD), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))))
+    return salted.join(copies, [key, "salt"]).drop("salt")
+
+
+#: Rows of a few numbers each that are broadcast at most; with more of them a join shuffles.
+SMALL_ROWS = 1 << 20
+
+
+def only(rows: DataFrame, ids: DataFrame, *keys: str) -> DataFrame:
+    """The rows whose keys are among ids (distinct, numbers only): broadcast up to SMALL_ROWS, shuffled beyond."""
+    return rows.join(F.broadcast(ids) if ids.count() <= SMALL_ROWS else ids, list(keys), "left_semi")
