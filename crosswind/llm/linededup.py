@@ -1,10 +1,12 @@
 """Line dedup by winnowing, in DataFrame functions only.
 
-A document's lines with something in them are hashed. Of every window of ``MIN_RUN`` consecutive lines the smallest hash (the
-last of equal ones) is a fingerprint, so that two runs of MIN_RUN equal lines always share one. Fingerprints that occur once
-are dropped; the rest are extended both ways over the windows that selected them, and a window that also stands earlier - by
-(doc_id, place) - is a repeat. The lines of repeated windows, which together are the whole of every later repeated run, are
-deleted.
+A document's lines with something in them are hashed. Of every window of ``MIN_RUN`` consecutive lines the one with the largest
+hash (the last of equal ones) is selected; a line that several windows select is one position. Two equal runs of MIN_RUN lines
+or more select lines at the same places of either, so positions are joined on the hash of their line, and a hash with a single
+position goes out before anything else is made of it. What is left is extended both ways over the neighbouring lines: each
+window that selected the position is compared, line by line with 128 bits a line, with those of the other positions. A window
+that stands earlier too, by (id, place), is a repeat; repeated windows side by side add up to the whole of a later repeated run,
+whose lines are deleted.
 """
 
 from __future__ import annotations
@@ -12,55 +14,90 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crosswind.llm.common import checkpointed
+from crosswind.llm.common import checkpointed, spread_join
+from crosswind.llm.quality import let
 
 MIN_RUN = 3
 BLANKS = " \t\r\x0b\x0c"
 
 
-def fingerprints(lines: Column, run: int) -> Column:
-    """Of an array of line hashes: each window's start, its own hash, and the fingerprint that it selects. Fewer lines than run, but not none, are one window."""
+def line_digests(text: Column) -> Column:
+    """h and more, 64 bits each, of every line with something in it, blanks at either end aside."""
+    full = F.filter(F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: x != "")
+    return F.transform(full, lambda x: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit("more"), x).alias("more")))
 
-    def window(j: Column) -> Column:
-        part = F.slice(lines, j + 1, F.lit(run))
-        return F.struct(j.alias("start"), F.xxhash64(F.size(part), F.array_join(F.transform(part, lambda h: h.cast("string")), ",")).alias("window"), F.array_min(part).alias("print"))
 
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(lines) - run, F.lit(0))), window)
+def _chosen(part: Column) -> Column:
+    """Which place of a window is selected, from 0."""
+    return F.array_max(F.transform(part, lambda x, i: F.struct(x["h"].alias("h"), i.alias("i"))))["i"]
+
+
+def positions(lines: Column, run: int) -> Column:
+    """The selected lines of an array of digests, each once: print (the hash), place, and around, the lines up to run - 1 before
+    and behind it, of which left stand before. Fewer lines than run, but not none, are one window."""
+    places = F.transform(F.sequence(F.lit(0), F.greatest(F.size(lines) - run, F.lit(0))), lambda start: start + _chosen(F.slice(lines, start + 1, F.lit(run))))
+
+    def position(place: Column) -> Column:
+        left = F.least(place, F.lit(run - 1))
+        return F.struct(F.get(lines, place)["h"].alias("print"), place.alias("place"), left.alias("left"), F.slice(lines, place - left + 1, left + run).alias("around"))
+
+    return F.transform(F.array_distinct(places), position)
+
+
+def windows_through(place: Column, left: Column, around: Column, run: int) -> Column:
+    """The windows that selected a position, told from the lines around it: start and window, all their digests in one."""
+    size = F.least(F.lit(run), F.size(around))
+
+    def window(begin: Column) -> Column:
+        part = F.slice(around, begin + 1, size)
+        return F.struct((place - left + begin).alias("start"), F.md5(F.concat_ws(",", F.transform(part, lambda x: F.concat_ws(" ", x["h"].cast("string"), x["more"].cast("string"))))).alias("window"), (begin + _chosen(part) == left).alias("own"))
+
+    every = F.transform(F.sequence(F.lit(0), F.least(left, F.size(around) - size)), window)
+    return F.filter(every, lambda x: x["own"])
 
 
 def repeats(docs: DataFrame, run: int = MIN_RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, body (the text's hash) and starts, the places among a document's full lines at which a window starts that stands earlier too."""
     text = F.col(text_col)
-    rows = docs.filter(text.isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("body"), F.transform(F.filter(F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: x != ""), lambda x: F.xxhash64(x)).alias("lines"))
-    rows = rows.filter(F.size("lines") > 0)
-    rows = rows.select("id", "body", F.explode(fingerprints(F.col("lines"), run)).alias("w")).select("id", "body", "w.*")
-    rows = checkpointed(rows.groupBy("print", "id", "body").agg(F.collect_set(F.struct("start", "window")).alias("windows")))
-    twice = rows.select("print", F.size("windows").alias("n")).groupBy("print").agg(F.sum("n").alias("n")).filter("n > 1").select("print")
-    windows = rows.join(twice, "print", "left_semi").select("id", "body", F.explode("windows").alias("w")).select("id", "body", "w.*")
-    first = windows.groupBy("window").agg(F.min(F.struct("id", "body", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("window", "first")
-    later = windows.join(first, "window").filter(F.struct("id", "body", "start") > F.col("first"))
+    rows = docs.filter(text.isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("body"), let(line_digests(text), lambda lines: F.when(F.size(lines) > 0, positions(lines, run))).alias("found"))
+    rows = checkpointed(rows.select("id", "body", F.explode("found").alias("p")).select("id", "body", "p.*"))
+    prints = rows.groupBy("print").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    joined = spread_join(rows, checkpointed(prints), "print", "n", F.xxhash64("id", "place"))
+    windows = joined.select("id", "body", F.explode(windows_through(F.col("place"), F.col("left"), F.col("around"), run)).alias("w")).select("id", "body", "w.start", "w.window")
+    windows = checkpointed(windows)
+    first = windows.groupBy("window").agg(F.min(F.struct("id", "body", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    later = spread_join(windows, checkpointed(first), "window", "n", F.xxhash64("id", "start")).filter(F.struct("id", "body", "start") > F.col("first"))
     return later.groupBy("id", "body").agg(F.collect_set("start").alias("starts"))
 
 
 def deduplicated(docs: DataFrame, run: int = MIN_RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of docs, the text without later repeated runs, and n_lines and n_removed (lines with something in them).
 
-    Lines are equal if they are after trimming blanks. Lines without anything else stay. A null text stays null. Rows equal in
-    id and text are one document. An n_lines or n_removed of the input is replaced.
+    Lines are equal if they are after trimming blanks. Lines without anything else stay. A null text stays null, an empty one
+    empty, an empty table gives no rows. Rows equal in id and text are one document; a null id comes before all others. An
+    n_lines or n_removed of the input is replaced; other columns may have any name and stay as they are. A document's work is
+    linear in its lines.
     """
-    found = repeats(docs, run, id_col, text_col).withColumnsRenamed({"id": "_id", "body": "_body", "starts": "_starts"})
-    rows = docs.join(found, docs[id_col].eqNullSafe(found["_id"]) & (F.xxhash64(docs[text_col]) == found["_body"]), "left")
-    rows = rows.withColumn("_lines", F.split(text_col, "\n")).withColumn("_full", F.filter(F.transform("_lines", lambda x, i: F.when(F.btrim(x, F.lit(BLANKS)) != "", i)), lambda i: i.isNotNull()))
-    gone = F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.slice("_full", s + 1, run))))
-    rows = rows.withColumn("_gone", F.coalesce(gone, F.array().cast("array<int>")))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    text = F.when(F.size("_gone") == 0, F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
-    new = {text_col: text, "n_lines": F.coalesce(F.size("_full"), F.lit(0)).cast("long"), "n_removed": F.size("_gone").cast("long")}
+    found = repeats(docs, run, id_col, text_col)
+    whole = docs.select(F.struct(*docs.columns).alias("row"))
+    key = F.struct(F.col(f"row.{id_col}").alias("id"), F.xxhash64(f"row.{text_col}").alias("body"))
+    rows = whole.withColumn("key", key).join(found.select(F.struct("id", "body").alias("key"), "starts"), "key", "left")
+    text = F.col("row")[text_col]
+    rows = rows.withColumn("lines", F.split(text, "\n")).withColumn("full", F.filter(F.transform("lines", lambda x, i: F.when(F.btrim(x, F.lit(BLANKS)) != "", i)), lambda i: i.isNotNull()))
+    gone = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.slice("full", s + 1, run))))
+    rows = rows.withColumn("gone", F.coalesce(gone, F.array().cast("array<int>")))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    left = F.when(F.size("gone") == 0, text).otherwise(F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n"))
+    new = {text_col: left, "n_lines": F.coalesce(F.size("full"), F.lit(0)).cast("long"), "n_removed": F.size("gone").cast("long")}
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")] + ["n_lines", "n_removed"]
-    return rows.select(*(new[c].alias(c) if c in new else c for c in names))
+    return rows.select(*((new[c] if c in new else F.col("row")[c]).alias(c) for c in names))
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """The columns of docs, with text deduplicated and n_chars, where there is one, counted anew."""
     rows = deduplicated(docs)
-    return rows.select(*(F.coalesce(F.length("text"), F.lit(0)).cast(t).alias(c) if c == "n_chars" else c for c, t in docs.dtypes))
+    extra = [c for c in ("n_lines", "n_removed") if c in docs.columns]
+    if extra:  # columns of the input's own
+        inner = docs.select("doc_id", "text", F.struct(*docs.columns).alias("whole"))
+        rows = deduplicated(inner).select("text", *(F.col("whole")[c].alias(c) for c in docs.columns if c != "text"))
+    return rows.select(*(F.coalesce(F.length("text"), F.lit(0)).cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes))
