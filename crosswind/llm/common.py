@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +29,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df, written as Parquet to the shared checkpoint folder and read from there: less than a checkpoint takes where values repeat."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of an Arrow column of strings; empty for null."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

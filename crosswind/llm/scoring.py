@@ -6,8 +6,8 @@ the word, the last marked as such) with its share of all training tokens, for wo
 
 Word counts cover every training document. The attention model starts from a fit on at most WARM_WINDOWS windows, on the
 driver, and then learns from every window of every training document, each partition on its own; partitions' models are
-averaged, weighted by their windows. Scoring deals documents, by a hash of their ids, into blocks of about BLOCK_BYTES and gives each block the
-counts of its own words only.
+averaged, weighted by their windows. Scoring deals documents, by a hash of id and text, into blocks of about BLOCK_BYTES, a
+partition each. A block's rows come as a stream: first the counts of its own words, then its texts.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crosswind.llm import attention as net
-from crosswind.llm.common import checkpointed, lower_words, slices, text_bytes
+from crosswind.llm.common import checkpointed, lower_words, slices, spread_join, text_bytes, written
 
 SHARE = 0.4
 WARM_WINDOWS, WARM_PASSES, WARM_RATE, WARM_BATCH, RATE, RATE_BATCH = 49_152, 2, 1e-2, 128, 1e-3, 64
@@ -30,7 +30,9 @@ SLICE_CHARS = 240
 #: Windows that are shuffled before they are learnt, so that a batch has those of several texts.
 SHUFFLED = 8192
 #: Windows scored together: their arrays stay in the processor's cache.
-BATCH = 384
+BATCH = 192
+#: Bytes of texts that are scored together; more only make for fewer repeated look-ups.
+TOGETHER = 4 << 20
 
 #: A word that no text has: the end of a text.
 TEXT_END = b" "
@@ -40,24 +42,49 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(7)) == 2
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word and c: how often training documents have each token, ends counted as TEXT_END."""
+class _Places(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+
+def block_words(dealt: DataFrame) -> DataFrame:
+    """block, word and n: the words of each block, ends as TEXT_END, and how often training documents of it have them, counted
+    per task first. dealt: block, train and text."""
 
     def run(batches):
-        total: Counter[bytes] = Counter()
+        total: dict[int, Counter[bytes]] = {}
         for batch in slices(batches, 512):
-            for x in text_bytes(batch.column(0)):
-                total.update(lower_words(x))
-            total[TEXT_END] += batch.num_rows
-            if len(total) > 1_000_000:
-                yield counted(total)
+            for block, train, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2))):
+                own = total.setdefault(block, Counter())
+                if train:
+                    own.update(lower_words(x))
+                    own[TEXT_END] += 1
+                else:
+                    for w in lower_words(x):
+                        own[w] += 0
+            if sum(map(len, total.values())) > 1_000_000:
+                yield from counted(total)
                 total.clear()
-        yield counted(total)
+        yield from counted(total)
 
     def counted(total):
-        return pa.RecordBatch.from_arrays([_strings(total), pa.array(list(total.values()), pa.int64())], ["word", "c"])
+        for block, own in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(own), pa.int64()), _strings(own), pa.array(list(own.values()), pa.int64())], ["block", "word", "n"])
+
+    return dealt.select("block", "train", "text").mapInArrow(run, "block long, word string, n long")
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word and c: how often training documents have each token, ends counted as TEXT_END."""
+    rows = docs.select(F.lit(0).cast("long").alias("block"), _train().alias("train"), "text").filter("train")
+    return block_words(rows).groupBy("word").agg(F.sum("n").alias("c"))
 
-    return docs.filter(~held_out(F.col("doc_id")) | F.col("doc_id").isNull()).select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+
+def _train() -> Column:
+    return F.coalesce(~held_out(F.col("doc_id")), F.lit(True))
 
 
 def _strings(words) -> pa.Array:
@@ -155,15 +182,14 @@ class _Scorer:
 
     def block(self, texts: list[bytes], counts: dict[bytes, int]):
         """n_tokens, n_known, base_score and score of each text; counts has the training counts of their words."""
-        place: dict[bytes, int] = {TEXT_END: 0}
-        flat_words, lengths = [], []
+        place = _Places({TEXT_END: 0})
+        parts, lengths = [], []
         for x in texts:
-            own = [place.setdefault(w, len(place)) for w in lower_words(x)]
-            own.append(0)
-            flat_words += own
+            own = lower_words(x)
+            own.append(TEXT_END)
+            parts.append(np.fromiter(map(place.__getitem__, own), np.int64, len(own)))
             lengths.append(len(own))
-        word = np.array(flat_words, np.int64)
-        del flat_words
+        word = np.concatenate(parts)
         distinct = list(place)[1:]
         parts = [net.word_ids(self.path, distinct[k : k + 20_000]) for k in range(0, len(distinct), 20_000)]
         every = np.concatenate([np.array([net.END], np.int32), *(x for x, _ in parts)])
@@ -209,37 +235,43 @@ def scored(docs: DataFrame, path: str | None = None) -> DataFrame:
     """
     path = path or net.vocabulary_path()
     docs = docs.select("doc_id", "text")
-    counts = checkpointed(word_counts(docs))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK_BYTES))
+    dealt = docs.withColumns({"block": F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("long"), "train": _train()})
+    words = written(block_words(dealt))
+    counts = checkpointed(words.groupBy("word").agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("rows")).filter("c > 0"))
     facts = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = facts["n"], facts["v"]
     numbers = fitted(docs, path)
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("long")).repartition(blocks, "block")
+    known = spread_join(words.select("block", "word"), counts, "word", "rows", F.col("block"))
+    kind = dict(docs.dtypes)["doc_id"]
+    first = known.select("block", F.lit(0).alias("kind"), F.col("word").alias("text"), F.col("c").alias("c"), F.lit(None).cast(kind).alias("doc_id"))
+    rows = first.union(dealt.select("block", F.lit(1), "text", F.lit(0).cast("long"), "doc_id"))
+    rows = rows.repartitionById(blocks, F.col("block").cast("int")).sortWithinPartitions("block", "kind")
 
-    def own_words(batches):
-        seen: dict[int, set[bytes]] = {}
-        for batch in slices(batches, 512):
-            for block, x in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
-                seen.setdefault(block, set()).update(lower_words(x))
-        for block, own in seen.items():
-            own = list(own)
-            for k in range(0, len(own), 100_000):
-                part = own[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), _strings(part)], ["block", "word"])
-
-    wanted = dealt.select("block", "text").mapInArrow(own_words, "block long, word string")
-    known = wanted.join(counts.filter(F.col("word") != TEXT_END.decode()), "word").select("block", "word", "c")
-    ends = counts.filter(F.col("word") == TEXT_END.decode()).select("c").first()
-    end_count = ends["c"] if ends else 0
-
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        counts = dict(zip(right.column("word").cast(pa.binary()).to_pylist(), right.column("c").to_pylist()))
-        counts[TEXT_END] = end_count
-        if not left.num_rows:
-            return pa.table({"doc_id": left.column("doc_id"), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
-        got = _Scorer(numbers, path, n, v).block(text_bytes(left.column("text")), counts)
-        return pa.table({"doc_id": left.column("doc_id"), "n_tokens": pa.array(got[0], pa.int64()), "n_known": pa.array(got[1], pa.int64()), "base_score": pa.array(got[2], pa.float64()), "score": pa.array(got[3], pa.float64())})
-
-    rows = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(score, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, n_known long, base_score double, score double")
+    def score(batches):
+        scorer, counts, kept, texts, size = _Scorer(numbers, path, n, v), {}, [], [], 0
+
+        def scored():
+            got = scorer.block(texts, counts)
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(kept), *(pa.array(x, t) for x, t in zip(got, (pa.int64(), pa.int64(), pa.float64(), pa.float64())))], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+        for batch in slices(batches, 1024):
+            kinds = batch.column(1).to_numpy()
+            upto = int((kinds == 0).sum())
+            if upto:
+                counts.update(zip(text_bytes(batch.column(2).slice(0, upto)), batch.column(3).slice(0, upto).to_pylist()))
+            if upto == len(kinds):
+                continue
+            kept.append(batch.column(4).slice(upto))
+            more = text_bytes(batch.column(2).slice(upto))
+            texts += more
+            size += sum(map(len, more))
+            if size > TOGETHER:
+                yield scored()
+                kept, texts, size = [], [], 0
+        if texts:
+            yield scored()
+
+    rows = rows.select("block", "kind", "text", "c", "doc_id").mapInArrow(score, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
     return rows.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
