@@ -17,7 +17,7 @@ from crosswind.plans.compiler import family_scores
 from crosswind.plans.language import FactorSpec
 from crosswind.sources.panels import fingerprint, with_forward
 
-FAMILY_OF = {name: family for name, (_, _, family, _) in generate.TEMPLATES.items()}
+FAMILY_OF = {name: family for name, (_, _, family) in generate.TEMPLATES.items()}
 
 
 def without_repeats(specs: list[FactorSpec], known: set[str] = frozenset()) -> list[FactorSpec]:

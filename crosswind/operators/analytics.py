@@ -120,17 +120,16 @@ def capacity(gross: float, adv: list[float], vol: list[float], turnover: float,
 
 
 def cost_sensitivity(stats: DataFrame, levels: tuple[float, ...] = (0.0, 5.0, 10.0, 20.0)) -> DataFrame:
-    """Net Sharpe ratio by cost in basis points, from gross (mean of a period), turnover and ann_vol."""
+    """Net Sharpe ratio by cost in basis points, from gross (mean of a period), turnover (0.5 where it is undefined) and ann_vol."""
     rows = stats.withColumn("bps", F.explode(F.array(*map(F.lit, map(float, levels)))))
-    return rows.withColumn("net_sharpe", F.try_divide((F.col("gross") - F.col("bps") / 1e4 * F.coalesce("turnover", F.lit(0.0))) * YEAR, F.col("ann_vol")))
+    return rows.withColumn("net_sharpe", F.try_divide((F.col("gross") - F.col("bps") / 1e4 * F.coalesce("turnover", F.lit(0.5))) * YEAR, F.col("ann_vol")))
 
 
 def adv_profile(panel: DataFrame, bars: int = 63) -> DataFrame:
     """adv (median of volume * close) and vol (of padded returns) of each symbol over the last bars of the panel."""
     recent = panel.select("ts").distinct().orderBy(F.desc("ts")).limit(bars)
     rows = panel.withColumn("_known", F.last("close", ignorenulls=True).over(over_symbol()))
-    rows = rows.join(recent, "ts")
-    rows = rows.withColumn("_ret", F.try_divide("_known", F.lag("_known", 1).over(over_symbol())) - 1)
+    rows = rows.withColumn("_ret", F.try_divide("_known", F.lag("_known", 1).over(over_symbol())) - 1).join(F.broadcast(recent), "ts")  # at most ``bars`` rows
     return rows.groupBy("symbol").agg(F.median(F.col("volume") * F.col("close")).alias("adv"), F.stddev_samp("_ret").alias("vol"))
 
 

@@ -2,28 +2,60 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosswind.plans.language import Call, Const, fields_used, ops_used, walk
 
-FAMILIES = ("momentum", "reversal", "volatility", "volume", "liquidity", "trend", "skewness", "interaction", "unknown")
+# The names of families.
+FAMILIES = ("momentum", "reversal", "volatility", "liquidity", "volume", "trend", "quality", "value", "size", "seasonality", "interaction", "regime", "skewness", "unknown")
 
 
 def syntactic_duplicates(spec, others) -> list[str]:
     return [o.factor_id for o in others if o.factor_id != spec.factor_id and o.expression_hash == spec.expression_hash]
 
 
+def _moments(names: list[str]):
+    """For mapInArrow over rows of a cell's scores (a list in the order of names, null where there is none): of each pair of
+    factors the number of cells that both have, and the sums that a correlation needs, a row per pair and task."""
+
+    def run(batches):
+        f = len(names)
+        total = np.zeros((6, f, f))
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, f)
+            known = ~np.isnan(x)
+            own, z = known.astype(float), np.where(known, x, 0.0)
+            total += np.stack([own.T @ own, z.T @ own, own.T @ z, (z * z).T @ own, own.T @ (z * z), z.T @ z])
+        i, j = np.triu_indices(f, 1)
+        columns = [pa.array([names[k] for k in i], pa.string()), pa.array([names[k] for k in j], pa.string()), *(pa.array(m[i, j]) for m in total)]
+        yield pa.RecordBatch.from_arrays(columns, ["a", "b", "n", "x", "y", "xx", "yy", "xy"])
+
+    return run
+
+
 def score_correlations(scores: DataFrame, min_overlap: int = 30) -> DataFrame:
     """a, b (factor ids, a < b), overlap and rho over all cells that both have; rho NULL below min_overlap or without spread.
 
-    Cells meet on (ts, symbol): a row per cell with the scores of all factors, from which each pair's moments are summed on the
-    spot, so pairs of rows are never shuffled.
+    Cells meet on (ts, symbol): a row per cell with the scores of all factors. Each task adds up a matrix of moments over its
+    cells, so what is shuffled behind it is a row per pair and task, whatever the number of cells.
     """
-    cells = scores.filter("score IS NOT NULL").groupBy("ts", "symbol").agg(F.sort_array(F.collect_list(F.struct("factor_id", "score"))).alias("all"))
-    pairs = cells.select(F.posexplode("all").alias("i", "x"), "all").select("x", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("y"))
-    rows = pairs.groupBy(F.col("x.factor_id").alias("a"), F.col("y.factor_id").alias("b")).agg(F.count(F.lit(1)).alias("overlap"), F.try_divide(F.covar_samp("x.score", "y.score"), F.stddev_samp("x.score") * F.stddev_samp("y.score")).alias("rho"))
-    return rows.withColumn("rho", F.when(F.col("overlap") >= min_overlap, F.col("rho")))
+    names = sorted(r[0] for r in scores.select("factor_id").distinct().collect())  # a name for each factor
+    if len(names) < 2:
+        return scores.sparkSession.createDataFrame([], "a string, b string, overlap long, rho double")
+    own = [F.max(F.when(F.col("factor_id") == n, F.col("score"))) for n in names]
+    cells = scores.filter("score IS NOT NULL").groupBy("ts", "symbol").agg(F.array(*own).alias("all"))
+    sums = cells.select("all").mapInArrow(_moments(names), "a string, b string, n double, x double, y double, xx double, yy double, xy double")
+    sums = sums.groupBy("a", "b").agg(*(F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy"))).filter("n > 0")
+    spread = lambda q, m, k: F.col(q) - F.col(m) * F.col(k) / F.col("n")
+    sx, sy = spread("xx", "x", "x"), spread("yy", "y", "y")
+    flat = (sx <= F.col("xx") * 1e-12) | (sy <= F.col("yy") * 1e-12)
+    rho = F.when((F.col("n") >= min_overlap) & ~flat, F.try_divide(spread("xy", "x", "y"), F.sqrt(sx * sy)))
+    return sums.select("a", "b", F.col("n").cast("long").alias("overlap"), rho.alias("rho"))
 
 
 def correlated(correlations: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -38,26 +70,57 @@ def nearest(correlations: DataFrame) -> DataFrame:
     return both.withColumn("_k", F.row_number().over(w)).filter("_k = 1").select(F.col("a").alias("factor_id"), F.col("b").alias("nearest"), "rho")
 
 
+@dataclass(frozen=True)
+class Novelty:
+    factor_id: str
+    family: str
+    same: list[str]
+    alike: list[tuple[str, float]]
+
+    @property
+    def nearest(self) -> tuple[str, float] | None:
+        return self.alike[0] if self.alike else None
+
+    @property
+    def duplicate(self) -> bool:
+        return bool(self.same or self.alike)
+
+
+def novelty(specs: list, scores: DataFrame, threshold: float = 0.7, min_overlap: int = 30) -> dict[str, Novelty]:
+    """For each factor: its family, the others with its hash, and those it correlates with by threshold or more, strongest first.
+    One plan for the whole family; a row reaches the driver for each pair that is alike."""
+    alike: dict[str, list[tuple[str, float]]] = {}
+    for r in correlated(score_correlations(scores, min_overlap), threshold).collect():
+        alike.setdefault(r["a"], []).append((r["b"], r["rho"]))
+        alike.setdefault(r["b"], []).append((r["a"], r["rho"]))
+    return {s.factor_id: Novelty(s.factor_id, classify(s.tree), syntactic_duplicates(s, specs), alike.get(s.factor_id, [])) for s in specs}
+
+
+def _soon_negated(node) -> bool:
+    """Whether a return or change over five bars or fewer is negated somewhere."""
+    inner = (x.args[0] for x in walk(node) if isinstance(x, Call) and x.op == "neg" and isinstance(x.args[0], Call))
+    return any(x.op in ("ts_returns", "ts_delta") and isinstance(x.args[1], Const) and x.args[1].value <= 5 for x in inner)
+
+
+# Families by what a tree holds, the first row that fits. A row: the family, operators of which one must be there
+# (none: any), fields that must all be there, and a further test.
+RULES = (
+    ("liquidity", "ts_mean cs_rank divide", "volume close", None),
+    ("volume", "ts_mean cs_rank divide", "volume", None),
+    ("skewness", "ts_skew", "", None),
+    ("reversal", "ts_zscore", "close", None),
+    ("trend", "ts_argmax ts_argmin", "", None),
+    ("volatility", "ts_std ts_downside_std", "", None),
+    ("reversal", "", "", _soon_negated),
+    ("momentum", "ts_returns ts_delta", "close", None),
+    ("trend", "ts_mean ts_ewm", "close", None),
+    ("interaction", "ts_corr ts_cov", "", None),
+    ("unknown", "", "", None),
+)
+
+
 def classify(node) -> str:
-    """The family that the operators and fields of a tree suggest; the first rule that fits."""
-    ops, fields = ops_used(node), fields_used(node)
-    if "volume" in fields and ops & {"ts_mean", "cs_rank", "divide"}:
-        return "liquidity" if "close" in fields else "volume"
-    if "ts_skew" in ops:
-        return "skewness"
-    if "ts_zscore" in ops and "close" in fields:
-        return "reversal"
-    if ops & {"ts_argmax", "ts_argmin"}:
-        return "trend"
-    if ops & {"ts_std", "ts_downside_std"}:
-        return "volatility"
-    for x in walk(node):
-        if isinstance(x, Call) and x.op == "neg" and isinstance(x.args[0], Call) and x.args[0].op in ("ts_returns", "ts_delta"):
-            window = x.args[0].args[1]
-            if isinstance(window, Const) and window.value <= 5:
-                return "reversal"
-    if ops & {"ts_returns", "ts_delta"} and "close" in fields:
-        return "momentum"
-    if ops & {"ts_mean", "ts_ewm"} and "close" in fields:
-        return "trend"
-    return "interaction" if ops & {"ts_corr", "ts_cov"} else "unknown"
+    """The family that the operators and fields of a tree suggest, by RULES."""
+    ops, fields = set(ops_used(node)), set(fields_used(node))
+    fits = lambda any_of, needs, test: (not any_of or ops & set(any_of.split())) and fields >= set(needs.split()) and (test is None or test(node))
+    return next(family for family, *rule in RULES if fits(*rule))

@@ -17,6 +17,8 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from crosswind.sources.panels import settled
+
 EXPERIMENTS = (
     "experiment_id string, parent_id string, family string, factor_id string, expression string, expression_hash string, generator string, created_at string, git_commit string, git_dirty int, command string, config_json string, "
     "dataset_fingerprint string, universe_fingerprint string, seed int, train_end string, valid_end string, status string, failure_reason string, holdout_viewed int, llm_model string, prompt_hash string, metrics_json string, artifacts_json string"
@@ -109,6 +111,25 @@ class Registry:
             key = got["parent_id"]
         return chain
 
+    def generations(self) -> DataFrame:
+        """factor_id, generations (how many parents there are up to the first) and root of every experiment, of all families at
+        once: each round doubles how far everyone has climbed, so the rounds grow with the logarithm of the longest chain. Parents
+        are factor ids; NULLs on a loop."""
+        rows = self.experiments().select("factor_id", "parent_id").dropDuplicates(["factor_id"])
+        known = rows.select(F.col("factor_id").alias("parent_id"), F.lit(True).alias("known"))
+        rows = rows.join(known, "parent_id", "left")
+        up = settled(rows.select(F.col("factor_id").alias("node"), F.when(F.col("known"), F.col("parent_id")).otherwise(F.col("factor_id")).alias("up"), F.coalesce("known", F.lit(False)).cast("long").alias("steps")))
+        far, before = 1, None
+        while True:
+            now = up.agg(F.count(F.lit(1)).alias("n"), F.sum("steps").alias("steps")).first()
+            if now["steps"] == before or far > 2 * max(1, now["n"]):
+                break
+            before, far = now["steps"], 2 * far
+            nxt = up.select(F.col("node").alias("up"), F.col("up").alias("further"), F.col("steps").alias("more"))
+            up = settled(up.join(nxt, "up").select("node", F.col("further").alias("up"), (F.col("steps") + F.col("more")).alias("steps")))
+        top = up.filter("steps = 0").select(F.col("node").alias("up"), F.col("node").alias("root"))
+        return up.join(top, "up", "left").select(F.col("node").alias("factor_id"), F.when(F.col("root").isNotNull(), F.col("steps")).alias("generations"), "root")
+
     def record_holdout_access(self, family: str, experiment_id: str | None = None, reason: str = "") -> None:
         self._append("holdout_access", [{"family": family, "experiment_id": experiment_id, "accessed_at": now(), "reason": reason}], ACCESSES)
         if experiment_id:

@@ -109,7 +109,7 @@ def fold_of(row, n, k: int):
 
 def purged_folds(n: int, k: int = 5, horizon: int = 1, embargo: int = 0) -> list[tuple[list[int], list[int]]]:
     """(train, test) indices: training keeps away from a test part by the horizon before and horizon + embargo after."""
-    return [([i for i in range(n) if i < a - horizon or i > b - 1 + horizon + embargo], list(range(a, b))) for a, b in array_split(n, k) if b > a]
+    return [([*range(0, max(0, a - horizon)), *range(min(n, b + horizon + embargo), n)], list(range(a, b))) for a, b in array_split(n, k) if b > a]
 
 
 def cpcv_splits(n: int, groups: int = 6, tests: int = 2, horizon: int = 1, embargo: int = 0) -> list[tuple[list[int], list[int]]]:
@@ -221,7 +221,7 @@ def block_bootstrap(x, statistic="mean", block: int | None = None, n_boot: int =
     x = np.asarray(x, float)
     x = x[~np.isnan(x)]
     f = {"mean": np.mean, "sharpe": lambda a: _sharpes(a[:, None])[0]}.get(statistic, statistic)
-    if len(x) < 2:
+    if len(x) < 3:
         return Interval(nan, nan, nan)
     drawn = [f(x[i]) for i in _blocks(len(x), block, n_boot, np.random.default_rng(seed))]
     return Interval(float(f(x)), float(np.nanpercentile(drawn, 50 * (1 - level))), float(np.nanpercentile(drawn, 50 * (1 + level))))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from crosswind.operators import analytics, dedup, stats
 from crosswind.operators.preprocess import Preprocess, coverage, preprocessed
 from crosswind.operators.registry import Registry, as_json
+from crosswind.operators.universe import Universe
 from crosswind.plans.compiler import check, family_scores
 from crosswind.plans.language import CausalityError, FactorSpec
 from crosswind.sources.panels import FIELDS, with_forward
@@ -46,11 +47,12 @@ def decide(metrics: dict, duplicate: bool, fdr_reject: bool | None, dsr: float |
     """The first gate that fails decides; missing numbers pass (a comparison with nan is never true)."""
     if duplicate:
         return State.DUPLICATE, ["another factor of the family is the same or nearly so"]
-    ic, t, gone = abs(metrics.get("mean_ic") or 0.0), abs(metrics.get("ic_t_stat") or 0.0), metrics.get("turnover")
+    ic, t, gone = (nan if metrics.get(k) is None else metrics[k] for k in ("mean_ic", "ic_t_stat", "turnover"))
+    ic, t = abs(ic), abs(t)
     early = [
         (ic < rules.min_abs_mean_ic, f"|mean IC| {ic:.4f} is below {rules.min_abs_mean_ic}"),
         (t < rules.min_abs_t_stat, f"|t| {t:.2f} is below {rules.min_abs_t_stat}"),
-        (gone is not None and gone > rules.max_turnover, f"turnover {gone} is above {rules.max_turnover}"),
+        (gone > rules.max_turnover, f"turnover {gone} is above {rules.max_turnover}"),
     ]
     late = [
         (rules.require_fdr_reject and fdr_reject is False, "not significant at the family's false discovery rate"),
@@ -63,14 +65,15 @@ def decide(metrics: dict, duplicate: bool, fdr_reject: bool | None, dsr: float |
     return State.RESEARCH_SURVIVOR, ["passed the gates of development, significance, deflated Sharpe ratio and novelty; no proof of profit"]
 
 
-def assert_no_lookahead(panel: DataFrame, specs: list[FactorSpec], cut_share: float = 0.6, tolerance: float = 1e-9) -> None:
-    """Computes all factors on the panel and on one whose rows behind a cut are blown up, and compares what lies before.
+def leaking(panel: DataFrame, specs: list[FactorSpec], cut_share: float = 0.6, tolerance: float = 1e-9) -> list[str]:
+    """Ids of the factors whose past changes with the future, sorted: all factors are computed on the panel and on one whose rows
+    behind a cut are blown up, and compared on what lies before.
 
     Both panels go through one plan, told apart by ``side``; cells missing on either side don't count.
     """
     times = panel.agg(F.percentile(F.unix_micros("ts"), F.lit(cut_share)).alias("cut")).first()["cut"]
     if times is None:
-        return
+        return []
     after = F.unix_micros("ts") > F.lit(int(times))
     blow = lambda c: F.when(after, F.col(c) * (1.5 + F.pmod(F.xxhash64("ts", "symbol", F.lit(c)), F.lit(1000)) / 1000)).otherwise(F.col(c))
     fields = [c for c in FIELDS if c in panel.columns]
@@ -79,9 +82,14 @@ def assert_no_lookahead(panel: DataFrame, specs: list[FactorSpec], cut_share: fl
     both = base.withColumn("side", F.lit(0)).unionByName(other.withColumn("side", F.lit(1)))
     scores = family_scores(both, specs, keys=("side",)).filter(~after)
     diff = scores.groupBy("factor_id", "ts", "symbol").agg(F.max(F.when(F.col("side") == 0, F.col("score"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("score"))).alias("b"))
-    worst = diff.groupBy("factor_id").agg(F.max(F.abs(F.col("a") - F.col("b"))).alias("d")).filter(F.col("d") > tolerance).collect()
-    if worst:
-        raise CausalityError("look-ahead detected: " + ", ".join(sorted(r["factor_id"] for r in worst)))
+    worst = diff.groupBy("factor_id").agg(F.max(F.abs(F.col("a") - F.col("b"))).alias("d")).filter(F.col("d") > tolerance).collect()  # a row for each factor
+    return sorted(r["factor_id"] for r in worst)
+
+
+def assert_no_lookahead(panel: DataFrame, specs: list[FactorSpec], cut_share: float = 0.6, tolerance: float = 1e-9) -> None:
+    """Raises CausalityError, which names them, if factors look ahead."""
+    if worst := leaking(panel, specs, cut_share, tolerance):
+        raise CausalityError("look-ahead detected: " + ", ".join(worst))
 
 
 @dataclass
@@ -132,14 +140,14 @@ def evaluate_family(panel: DataFrame, specs: list[FactorSpec], horizon: int = 1,
             "n_periods": i.get("n", 0), "mean_ic": i.get("mean_ic"), "ic_ir": i.get("ic_ir"), "ic_t_stat": i.get("t_stat"), "ic_hit_rate": i.get("hit_rate"),
             "sharpe": p.get("sharpe"), "sharpe_after_cost": p.get("sharpe_after_cost"), "ann_return": p.get("ann_return"), "ann_vol": p.get("ann_vol"), "turnover": tau, "monotonicity": p.get("monotonicity"), "spread": p.get("spread"),
             "coverage": cover.get(s.factor_id, {}).get("coverage"), "autocorr": auto.get(s.factor_id, {}).get("autocorr"),
-            "capacity_usd": analytics.capacity(p.get("gross") or nan, advs, vols, 0.5 if tau is None else tau, max(1, 2 * len(adv) // q), costs),
-            "cost_sensitivity": {b_: ((p["gross"] - b_ / 1e4 * (tau or 0.0)) * 252 / p["ann_vol"]) if p.get("ann_vol") else None for b_ in (0, 5, 10, 20)},
+            "capacity_usd": analytics.capacity(p.get("gross") or nan, advs, vols, 0.5 if tau is None else tau, len(advs), costs),
+            "cost_sensitivity": {b_: ((p["gross"] - b_ / 1e4 * (0.5 if tau is None else tau)) * 252 / p["ann_vol"]) if p.get("ann_vol") else None for b_ in (0, 5, 10, 20)},
             "portfolio_spec": analytics.PortfolioSpec(quantiles=q).to_dict(), "portfolio_backtest": {k: v for k, v in b.items() if k != "factor_id"}, "ic_decay": decay.get(s.factor_id, {}),
         }
     return out, scores, ls
 
 
-def run_family_study(panel: DataFrame, specs: list[FactorSpec], family: str, registry: Registry, horizon: int = 1, n_boot: int = 500, seed: int = 0, rules: Criteria = Criteria(), leakage: bool = True, dataset: str = "") -> Study:
+def run_family_study(panel: DataFrame, specs: list[FactorSpec], family: str, registry: Registry, horizon: int = 1, n_boot: int = 500, seed: int = 0, rules: Criteria = Criteria(), leakage: bool = True, dataset: str = "", universe: Universe | None = None) -> Study:
     """Evaluates, tests, compares and decides on a family; every candidate, invalid ones too, is recorded and counts as a trial."""
     good, invalid = [], []
     for s in specs:
@@ -149,9 +157,12 @@ def run_family_study(panel: DataFrame, specs: list[FactorSpec], family: str, reg
         except ValueError as x:
             invalid.append((s, str(x)))
     if leakage and good:
-        assert_no_lookahead(panel, good)
-    metrics, scores, ls = evaluate_family(panel, good, horizon) if good else ({}, None, None)
-    row = lambda s, **more: {"family": family, "factor_id": s.factor_id, "expression": s.expression, "expression_hash": s.expression_hash, "generator": s.generator, "parent_id": s.parent_ids[0] if s.parent_ids else None, "dataset_fingerprint": dataset, "seed": seed} | more
+        ahead = set(leaking(panel, good))
+        invalid += [(s, "look-ahead detected: its past changes with the future") for s in good if s.factor_id in ahead]
+        good = [s for s in good if s.factor_id not in ahead]
+    metrics, scores, ls = evaluate_family(panel, good, horizon, eligible=universe.eligibility() if universe else None) if good else ({}, None, None)
+    mark = universe.fingerprint() if universe else dataset
+    row = lambda s, **more: {"family": family, "factor_id": s.factor_id, "expression": s.expression, "expression_hash": s.expression_hash, "generator": s.generator, "parent_id": s.parent_ids[0] if s.parent_ids else None, "dataset_fingerprint": dataset, "universe_fingerprint": mark, "seed": seed} | more
     ids = registry.record([row(s, metrics_json=as_json(metrics[s.factor_id])) for s in good] + [row(s, status=State.INVALID.value, failure_reason=why) for s, why in invalid])
     results = [Result(s, metrics[s.factor_id], experiment_id=i) for s, i in zip(good, ids)] + [Result(s, state=State.INVALID, reasons=[why], experiment_id=i) for (s, why), i in zip(invalid, ids[len(good) :])]
     trials = registry.family_trial_count(family)
@@ -163,7 +174,7 @@ def run_family_study(panel: DataFrame, specs: list[FactorSpec], family: str, reg
             wide[r["factor_id"]][r["ts"]] = r["ls"]
         common = sorted(set.intersection(*(set(x) for x in wide.values())))
         m = np.array([[wide[n][t] for n in names] for t in common], float).reshape(len(common), len(names))
-        overall |= {"pbo": stats.pbo_cscv(m, 8)[0] if len(names) > 1 and len(m) >= 8 else nan, "pbo_cpcv": stats.pbo_cpcv(m)[0] if len(names) > 1 and len(m) >= 12 else nan, "white_rc_p": stats.reality_check(m, n_boot, seed=seed) if len(m) >= 20 else nan, "spa_p": stats.superior_ability(m, n_boot, seed=seed) if len(m) >= 20 else nan}
+        overall |= {"pbo": stats.pbo_cscv(m, 8)[0] if len(names) > 1 and len(m) >= 8 else nan, "pbo_cpcv": stats.pbo_cpcv(m)[0] if len(names) > 1 and len(m) >= 12 else nan, "white_rc_p": stats.reality_check(m, n_boot, seed=seed) if len(names) > 1 and len(m) >= 20 else nan, "spa_p": stats.superior_ability(m, n_boot, seed=seed) if len(names) > 1 and len(m) >= 20 else nan}
         spark = panel.sparkSession
         p = spark.createDataFrame([(family, n, stats.ic_pvalue(metrics[n]["ic_t_stat"], metrics[n]["n_periods"])) for n in names], "family string, factor_id string, p double")
         bh, hm = _by_factor(stats.benjamini_hochberg(p)), _by_factor(stats.holm(p))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,3 +32,46 @@ def masked(scores: DataFrame, membership: DataFrame) -> DataFrame:
     """scores with NULL where the cell isn't eligible."""
     rows = scores.join(eligibility(membership), ["ts", "symbol"], "left")
     return rows.withColumn("score", F.when(F.coalesce("eligible", F.lit(False)), F.col("score"))).drop("eligible")
+
+
+@dataclass(frozen=True)
+class Universe:
+    """A membership with its name and kind, which say how far it may be trusted."""
+
+    name: str
+    kind: str
+    membership: DataFrame
+
+    def __post_init__(self):
+        if self.kind not in KINDS:
+            raise ValueError(f"no kind of universe: {self.kind}")
+
+    def eligibility(self) -> DataFrame:
+        return eligibility(self.membership)
+
+    def apply(self, scores: DataFrame) -> DataFrame:
+        return masked(scores, self.membership)
+
+    def fingerprint(self) -> str:
+        """32 hexadecimal digits that tell universes apart, whatever the order of rows."""
+        h = F.xxhash64("ts", "symbol", F.coalesce("member", F.lit(False)))
+        row = self.membership.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(h.cast("decimal(38,0)"))).first()
+        return hashlib.sha256("|".join(map(str, (self.name, self.kind, *row))).encode()).hexdigest()[:32]
+
+
+def static_universe(panel: DataFrame, name: str = "static") -> Universe:
+    return Universe(name, "static", static(panel))
+
+
+def point_in_time_universe(membership: DataFrame, name: str = "pit") -> Universe:
+    """A membership known as of each bar."""
+    return Universe(name, "point_in_time", membership)
+
+
+def stressed_universe(membership: DataFrame, deaths: DataFrame, name: str = "survivorship") -> Universe:
+    return Universe(name, "survivorship_stressed", survivorship_stressed(membership, deaths))
+
+
+def research_only(membership: DataFrame, name: str = "research_only") -> Universe:
+    """An approximation, named so that nobody takes it for one known as of each bar."""
+    return Universe(name, "research_only", membership)

@@ -187,13 +187,13 @@ mono AS (SELECT factor_id, {CORR} AS monotonicity, max(CASE WHEN bucket = 4 THEN
 st AS (SELECT * FROM gr JOIN mono USING (factor_id) JOIN tv USING (factor_id))"""
 PORTFOLIO = f"""WITH {STATS} SELECT factor_id, {r('gross / nullif(sd, 0) * sqrt(252)')} AS sharpe, {r('gross * 252')} AS ann_return, {r('sd * sqrt(252)')} AS ann_vol, {r('turnover')} AS turnover,
   {r('monotonicity')} AS monotonicity, {r('spread')} AS spread, {r('gross')} AS gross, {r('(gross - 0.0005 * coalesce(turnover, 0)) / nullif(sd, 0) * sqrt(252)')} AS sharpe_after_cost FROM st"""
-COSTS = f"WITH {STATS} SELECT factor_id, bps, {r('(gross - bps / 1e4 * coalesce(turnover, 0)) * 252 / nullif(sd * sqrt(252), 0)')} AS net_sharpe FROM st, (VALUES (0.0::DOUBLE), (5.0), (10.0), (20.0)) AS v(bps)"
+COSTS = f"WITH {STATS} SELECT factor_id, bps, {r('(gross - bps / 1e4 * coalesce(turnover, 0.5)) * 252 / nullif(sd * sqrt(252), 0)')} AS net_sharpe FROM st, (VALUES (0.0::DOUBLE), (5.0), (10.0), (20.0)) AS v(bps)"
 BACKTEST = f"""WITH {B}, n AS (SELECT ls.factor_id, ts, ls / 1000 - 0.0000005 * coalesce(turnover, 0) AS net, turnover FROM ls JOIN tv USING (factor_id)),
 e AS (SELECT *, product(1 + net) OVER (PARTITION BY factor_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS equity FROM n),
 d AS (SELECT *, equity / max(equity) OVER (PARTITION BY factor_id ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1 AS fall FROM e)
 SELECT factor_id, count(*) AS n, {r('arg_max(equity, ts) - 1')} AS total_return, {r('avg(net) / stddev_samp(net) * sqrt(252)')} AS sharpe, {r('min(fall)')} AS max_drawdown,
   {r('avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END)')} AS hit_rate, {r('any_value(turnover)')} AS turnover FROM d GROUP BY factor_id"""
-ADV = f"""WITH {P}{RETURNS}, recent AS (SELECT DISTINCT ts FROM p ORDER BY ts DESC LIMIT 63), x AS (SELECT k.*, f / nullif(lag(f) OVER (PARTITION BY symbol ORDER BY ts), 0) - 1 AS ret FROM k WHERE ts IN (SELECT ts FROM recent))
+ADV = f"""WITH {P}{RETURNS}, recent AS (SELECT DISTINCT ts FROM p ORDER BY ts DESC LIMIT 63), y AS (SELECT k.*, f / nullif(lag(f) OVER (PARTITION BY symbol ORDER BY ts), 0) - 1 AS ret FROM k), x AS (SELECT * FROM y WHERE ts IN (SELECT ts FROM recent))
 SELECT symbol, {r('median(volume * close)', 4)} AS adv, {r('stddev_samp(ret)', 4)} AS vol FROM x GROUP BY symbol"""
 
 REG = """, z AS (

@@ -6,9 +6,10 @@ Missing values are NULL. ``sym_ord`` numbers the symbols in the order of the clo
 from __future__ import annotations
 
 import hashlib
+import os
 import sqlite3
+import tempfile
 from dataclasses import dataclass
-from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -32,6 +33,21 @@ class Metadata:
     version: str = ""
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df, written to the folder in spark.checkpoint.dir and read from there, so that plans that use it often make it once. Only
+    where that is unset, as in tests on one machine, the folder is one of its own."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/crosswind-{os.getpid()}")
+    return df.checkpoint()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in whatever store the path names."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def gridded(cells: DataFrame) -> DataFrame:
     """cells (ts, symbol and fields; no null close is needed) on the grid of all timestamps by all symbols, with sym_ord.
 
@@ -58,7 +74,7 @@ def trade_panel(spark: SparkSession, sf_dir: str, grain: str = "week", symbol: s
         F.min_by("price", "place").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "place").alias("close"),
         F.sum("l_quantity").alias("volume"), F.try_divide(F.sum("l_extendedprice"), F.sum("l_quantity")).alias("vwap"),
     )
-    return gridded(cells)
+    return gridded(settled(cells))
 
 
 def filled(panel: DataFrame) -> DataFrame:
@@ -104,7 +120,7 @@ def read_csv_dir(spark: SparkSession, path: str) -> DataFrame:
     """A panel of wide CSV files, one for each field, whose first column is the timestamp; close.csv is a must."""
     fields, order = {}, {}
     for name in FIELDS:
-        if not Path(path, f"{name}.csv").exists():
+        if not exists(spark, f"{path}/{name}.csv"):
             continue
         wide = spark.read.option("header", True).option("inferSchema", True).csv(f"{path}/{name}.csv")
         first, *symbols = wide.columns
