@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import statistics
+from uuid import uuid4
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crosswind.operators import analytics, dedup, generate, preprocess, registry, robustness, stats, study, universe
@@ -208,11 +211,34 @@ def walk_forward(spark, sf_dir):
     return rounded(robustness.walk_forward(analytics.ic_series(judged(spark, sf_dir))))
 
 
+@query("walk_forward_sharpe", sql.WALK_FORWARD_SHARPE)
+def walk_forward_sharpe(spark, sf_dir):
+    scores = judged(spark, sf_dir)
+    rows = robustness.walk_forward(analytics.ic_series(scores), ls=analytics.long_short(analytics.quantile_buckets(scores)))
+    return rounded(rows.select("factor_id", "window", "n", "mean_ic", "sharpe"))
+
+
+@query("walk_forward_summary", sql.WALK_FORWARD_SUMMARY)
+def walk_forward_summary(spark, sf_dir):
+    scores = judged(spark, sf_dir)
+    return rounded(robustness.walk_forward_summary(analytics.ic_series(scores), analytics.long_short(analytics.quantile_buckets(scores))))
+
+
+@query("stability", sql.STABILITY)
+def stability(spark, sf_dir):
+    return rounded(robustness.stability(robustness.subperiods(analytics.ic_series(judged(spark, sf_dir)))))
+
+
 @query("param_sensitivity", sql.SENSITIVITY)
 def param_sensitivity(spark, sf_dir):
-    factors = {str(w): f"ts_mean(close,{w})" for w in (3, 5, 8)}
-    rows = analytics.ic_series(judged(spark, sf_dir, factors=factors)).groupBy("factor_id").agg(F.avg("ic").alias("mean_ic"))
-    return rounded(rows.select(F.col("factor_id").cast("int").alias("w"), "mean_ic"))
+    got = robustness.parameter_sensitivity(panels.trade_panel(spark, sf_dir), "ts_mean(close,{w})", (3, 5, 8))
+    return rounded(spark.createDataFrame(list(got.items()), "w int, mean_ic double"))
+
+
+@query("param_verdict", sql.SENSITIVITY_VERDICT)
+def param_verdict(spark, sf_dir):
+    got = robustness.sensitivity(robustness.parameter_sensitivity(panels.trade_panel(spark, sf_dir), "ts_mean(close,{w})", (3, 5, 8)))
+    return rounded(spark.createDataFrame([(got.mean_ic, got.dispersion, got.consistency, got.robust)], "mean_ic double, dispersion double, consistency double, robust boolean"))
 
 
 def p_values(spark, sf_dir):
@@ -241,21 +267,50 @@ def pbo_cscv(spark, sf_dir):
     return rounded(stats.cscv_ranks(analytics.long_short(analytics.quantile_buckets(judged(spark, sf_dir))), 6))
 
 
+def bars(spark, sf_dir) -> list:
+    """The weekly panel's timestamps, which are few whatever the table's size."""
+    return sorted(r[0] for r in panels.trade_panel(spark, sf_dir).select("ts").distinct().collect())
+
+
 @query("purged_kfold", sql.PURGED)
 def purged_kfold(spark, sf_dir):
-    """Rows of the weekly panel's timestamps in training, by fold."""
-    times = panels.trade_panel(spark, sf_dir).select("ts").distinct().withColumns({"i": F.row_number().over(Window.orderBy("ts")) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))})
-    rows = times.withColumn("fold", stats.fold_of(F.col("i"), F.col("n"), 5))
-    tests = rows.groupBy("fold").agg(F.min("i").alias("a"), F.max("i").alias("b"))
-    train = rows.select("ts", "i").crossJoin(F.broadcast(tests)).filter((F.col("i") < F.col("a") - 2) | (F.col("i") > F.col("b") + 2 + 3))  # five folds
-    return train.groupBy("fold").agg(F.count(F.lit(1)).alias("n_train"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    """Bars in training, by fold."""
+    times = bars(spark, sf_dir)
+    folds = stats.purged_folds(len(times), 5, 2, 3)
+    return spark.createDataFrame([(k, len(train), times[train[0]], times[train[-1]]) for k, (train, _) in enumerate(folds)], "fold int, n_train long, first_ts timestamp, last_ts timestamp")
 
 
 @query("cpcv_splits", sql.CPCV)
 def cpcv_splits(spark, sf_dir):
-    """Test and purged training sizes of every combination of two of six groups of 100 bars."""
-    rows = [(k, len(train), len(test), min(test), max(test)) for k, (train, test) in enumerate(stats.cpcv_splits(100, 6, 2, 2, 3))]
-    return spark.createDataFrame(rows, "split int, n_train long, n_test long, first_test long, last_test long")
+    """Test and purged training sizes of every combination of two of six groups of bars."""
+    splits = stats.cpcv_splits(len(bars(spark, sf_dir)), 6, 2, 2, 3)
+    return spark.createDataFrame([(k, len(train), len(test), min(test), max(test)) for k, (train, test) in enumerate(splits)], "split int, n_train long, n_test long, first_test long, last_test long")
+
+
+def matrix(spark, sf_dir):
+    """Long-short returns of the factors, bars by factors, of bars that all have."""
+    rows = analytics.long_short(analytics.quantile_buckets(judged(spark, sf_dir))).groupBy("ts").pivot("factor_id", list(FACTORS)).agg(F.first("ls")).dropna().orderBy("ts").toPandas()
+    return rows[list(FACTORS)].to_numpy()
+
+
+@query("pbo_value", sql.PBO)
+def pbo_value(spark, sf_dir):
+    m = matrix(spark, sf_dir)
+    return rounded(spark.createDataFrame([(stats.pbo_cscv(m, 6)[0], len(m))], "pbo double, n long"))
+
+
+@query("dsr_value", sql.DSR)
+def dsr_value(spark, sf_dir):
+    rows = stats.return_moments(analytics.long_short(analytics.quantile_buckets(judged(spark, sf_dir)))).collect()  # a row for each factor
+    variance = statistics.variance(r["sr"] for r in rows)
+    got = [(r["factor_id"], stats.expected_max_sharpe(3, variance), stats.deflated_sharpe(r["n"], r["sr"], r["skew"], r["kurt"], 3, variance)) for r in rows]
+    return rounded(spark.createDataFrame(got, "factor_id string, expected_max double, dsr double"), 5)
+
+
+@query("ic_pvalue", sql.PVALUE)
+def ic_pvalue(spark, sf_dir):
+    rows = analytics.ic_stats(analytics.ic_series(judged(spark, sf_dir), "spearman")).collect()  # a row for each factor
+    return rounded(spark.createDataFrame([(r["factor_id"], stats.ic_pvalue(r["t_stat"], r["n"])) for r in rows], "factor_id string, p double"), 5)
 
 
 @query("dedup_pairs", sql.DEDUP)
@@ -263,16 +318,73 @@ def dedup_pairs(spark, sf_dir):
     return rounded(dedup.score_correlations(judged(spark, sf_dir)))
 
 
+@query("dedup_nearest", sql.NEAREST)
+def dedup_nearest(spark, sf_dir):
+    return rounded(dedup.nearest(dedup.score_correlations(judged(spark, sf_dir))))
+
+
+@query("novelty", sql.NOVELTY)
+def novelty(spark, sf_dir):
+    """Factors against each other, one of them there twice and one turned round."""
+    factors = FACTORS | {"again": FACTORS["momentum"], "against": "neg(ts_returns(close,4))"}
+    specs = [make_factor(k, v) for k, v in factors.items()]
+    got = dedup.novelty(specs, judged(spark, sf_dir, factors=factors))
+    rows = [(n.factor_id, n.family, len(n.same), len(n.alike), n.duplicate) for n in got.values()]
+    return spark.createDataFrame(rows, "factor_id string, family string, same long, alike long, duplicate boolean")
+
+
 @query("capacity", sql.CAPACITY)
 def capacity(spark, sf_dir):
-    """Capacity by supplier from made-up returns, turnovers and volumes."""
-    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_acctbal").orderBy("s_suppkey")
+    """Assets at which costs take a factor's return, with the panel's volumes: a row of numbers for each factor and symbol."""
     model = analytics.CostModel()
-    fixed = model.fixed(F.lit(0.5))
-    gross = F.abs("s_acctbal") / 1e6
-    c = F.lit(model.impact * 0.02) * F.sqrt(F.lit(0.5 / 10) / (1e6 + F.abs("s_acctbal"))) * 0.5
-    value = F.when(gross <= fixed, 0.0).otherwise(F.pow((gross - fixed) / c, F.lit(2.0)))
-    return rounded(rows.select("s_suppkey", value.alias("capacity_usd")), 2)
+    profile = [(r["adv"], r["vol"]) for r in analytics.adv_profile(panels.trade_panel(spark, sf_dir)).collect()]
+    rows = analytics.portfolio_stats(judged(spark, sf_dir)).collect()
+    got = [(r["factor_id"], analytics.capacity(abs(r["gross"]), [a for a, _ in profile], [v for _, v in profile], r["turnover"], len(profile), model)) for r in rows]
+    return rounded(spark.createDataFrame(got, "factor_id string, capacity_usd double").select("factor_id", F.log10(F.col("capacity_usd") + 1).alias("log_capacity")))
+
+
+@query("family_metrics", sql.METRICS)
+def family_metrics(spark, sf_dir):
+    """What a study measures of each factor."""
+    specs = [make_factor(k, v) for k, v in FACTORS.items()]
+    got, scores, ls = study.evaluate_family(panels.trade_panel(spark, sf_dir), specs)
+    scores.unpersist()
+    ls.unpersist()
+    names = ("n_periods", "mean_ic", "ic_t_stat", "sharpe", "turnover", "coverage", "autocorr")
+    return rounded(spark.createDataFrame([(k, *(m[n] for n in names)) for k, m in got.items()], "factor_id string, n_periods long, " + ", ".join(f"{n} double" for n in names[1:])))
+
+
+@query("decisions", sql.DECISIONS)
+def decisions(spark, sf_dir):
+    """Gates over made-up measures, missing ones among them: a supplier for each candidate."""
+    x = F.col("s_acctbal") / 10000
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", F.when(F.col("s_suppkey") % 7 != 0, x / 10).alias("ic"), (x * 6).alias("t"), F.abs(x).alias("gone"), (F.col("s_suppkey") % 11 == 0).alias("dup"), (F.col("s_suppkey") % 3 != 0).alias("fdr"), F.abs(1 - x).alias("dsr"), F.when(F.col("s_suppkey") % 5 != 0, x * x).alias("near"))
+
+    def decide(frames):
+        for f in frames:
+            some = lambda v: None if v is None or v != v else v
+            f["state"] = [study.decide({"mean_ic": some(r.ic), "ic_t_stat": r.t, "turnover": r.gone}, r.dup, r.fdr, r.dsr, some(r.near))[0].value for r in f.itertuples()]
+            yield f[["s_suppkey", "state"]]
+
+    return rows.mapInPandas(decide, "s_suppkey long, state string")
+
+
+@query("source_long", sql.PANEL_OHLCV)
+def source_long(spark, sf_dir):
+    """The weekly panel, written as long Parquet and read through that source."""
+    folder, p = f"{panels.shared_folder(spark)}/long-{uuid4()}", panels.trade_panel(spark, sf_dir)
+    rows = p.select(F.col("ts").alias("timestamp"), "symbol", F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in panels.FIELDS))).alias("x")).select("timestamp", "symbol", "x.*")
+    rows.write.parquet(folder)
+    return rounded(panels.read_long(spark, folder).select("ts", "symbol", "sym_ord", *panels.FIELDS))
+
+
+@query("source_csv", sql.PANEL_OHLCV)
+def source_csv(spark, sf_dir):
+    """The weekly panel, written as wide CSV files and read through that source."""
+    folder, p = f"{panels.shared_folder(spark)}/wide-{uuid4()}", panels.trade_panel(spark, sf_dir)
+    for c in panels.FIELDS:
+        p.groupBy(F.col("ts").alias("timestamp")).pivot("symbol").agg(F.first(c)).coalesce(1).write.option("header", True).csv(f"{folder}/{c}.csv")
+    return rounded(panels.read_csv_dir(spark, folder).select("ts", "symbol", "sym_ord", *panels.FIELDS))
 
 
 @query("data_split", sql.SPLIT)
@@ -283,36 +395,45 @@ def data_split(spark, sf_dir):
     return panel.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
+def recorded(spark, sf_dir) -> registry.Registry:
+    """A registry of suppliers as experiments: the family is the nation, the parent the supplier of half the key."""
+    r = registry.Registry(spark, f"{panels.shared_folder(spark)}/registry-{uuid4()}")
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_nationkey").collect()  # candidates are what a user tries
+    r.record({"experiment_id": f"e{k}", "family": f"f{n}", "factor_id": str(k), "parent_id": str(k // 2) if k > 1 else None, "expression": "close", "expression_hash": str(k), "seed": 0} for k, n in rows)
+    return r
+
+
 @query("registry_trial_counts", sql.TRIALS)
 def registry_trial_counts(spark, sf_dir):
-    """Latest status of experiments (orders), counted by family (priority), invalid ones too."""
-    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderpriority").alias("family"), F.col("o_custkey").alias("experiment_id"), F.struct("o_orderdate", "o_orderkey").alias("seq"), F.col("o_orderstatus").alias("status"))
-    latest = rows.groupBy("family", "experiment_id").agg(F.max_by("status", "seq").alias("status"))
-    return latest.groupBy("family", "status").agg(F.count(F.lit(1)).alias("trials"))
+    """Experiments of a registry by family and latest status, after those in debt were rejected."""
+    r = recorded(spark, sf_dir)
+    debts = spark.read.parquet(f"{sf_dir}/supplier.parquet").filter("s_acctbal < 0").select("s_suppkey").collect()
+    r.update({f"e{k}": {"status": "rejected_in_development"} for (k,) in debts})
+    return r.experiments().groupBy("family", "status").agg(F.count(F.lit(1)).alias("trials"))
 
 
 @query("lineage", sql.LINEAGE)
 def lineage(spark, sf_dir):
-    """Chains of parents, each supplier's being the one with half its key."""
-    spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey").createOrReplaceTempView("lineage_nodes")
-    return spark.sql(sql.LINEAGE.replace("supplier", "lineage_nodes"))
+    """Chains of parents in a registry, each supplier's being the one with half its key."""
+    rows = recorded(spark, sf_dir).generations()
+    return rows.select(F.col("factor_id").cast("long").alias("start"), F.col("generations").cast("int").alias("generations"), F.col("root").cast("long").alias("root"))
 
 
 @query("family_study")
 def family_study(spark, sf_dir):
-    """Decisions on a family of templates over the weekly panel: no SQL, as they rest on t and normal distributions and bootstraps."""
-    specs = generate.from_templates((4, 8))
-    metrics, scores, ls = study.evaluate_family(panels.filled(panels.trade_panel(spark, sf_dir)), specs)
-    p = spark.createDataFrame([("templates", s.factor_id, stats.ic_pvalue(metrics[s.factor_id]["ic_t_stat"], metrics[s.factor_id]["n_periods"])) for s in specs], "family string, factor_id string, p double")
-    facts = spark.createDataFrame([(s.factor_id, dedup.classify(s.tree), metrics[s.factor_id]["mean_ic"], metrics[s.factor_id]["ic_t_stat"], metrics[s.factor_id]["turnover"]) for s in specs], "factor_id string, semantic string, mean_ic double, ic_t_stat double, turnover double")
-    return rounded(facts.join(stats.benjamini_hochberg(p).select("factor_id", "p", "p_fdr", "fdr_reject"), "factor_id"))
+    """Decisions on a family of templates over the weekly panel, with its tests and registry: no SQL, as they rest on bootstraps."""
+    store = registry.Registry(spark, f"{panels.shared_folder(spark)}/registry-{uuid4()}")
+    panel = panels.settled(panels.filled(panels.trade_panel(spark, sf_dir)))
+    done = study.run_family_study(panel, generate.from_templates((4, 8)), "templates", store, universe=universe.static_universe(panel))
+    names = ("mean_ic", "ic_t_stat", "turnover", "p_value", "p_fdr", "dsr", "pbo", "white_rc_p", "spa_p")
+    rows = [(r.spec.factor_id, r.state.value, r.statistics.get("semantic_family"), store_n, *((r.metrics | r.statistics).get(n) for n in names)) for r, store_n in ((r, done.statistics["trial_count"]) for r in done.results)]
+    return rounded(spark.createDataFrame(rows, "factor_id string, state string, semantic string, trials long, " + ", ".join(f"{n} double" for n in names)))
 
 
 @query("bootstrap_tests")
 def bootstrap_tests(spark, sf_dir):
     """Interval, White's and Hansen's p and overfitting probabilities of three factors: seeded draws, which SQL can't make."""
-    rows = analytics.long_short(analytics.quantile_buckets(judged(spark, sf_dir))).groupBy("ts").pivot("factor_id", list(FACTORS)).agg(F.first("ls")).dropna().orderBy("ts").toPandas()
-    m = rows[list(FACTORS)].to_numpy()
+    m = matrix(spark, sf_dir)
     ci = stats.block_bootstrap(m[:, 0], "sharpe")
     got = [("ci_low", ci.low), ("ci_high", ci.high), ("white_rc", stats.reality_check(m)), ("spa", stats.superior_ability(m)), ("pbo_cscv", stats.pbo_cscv(m)[0]), ("pbo_cpcv", stats.pbo_cpcv(m)[0]), ("cpcv_median", stats.cpcv_paths(m[:, 0]).median)]
     return rounded(spark.createDataFrame(got, "statistic string, value double"))

@@ -218,15 +218,54 @@ NUMBERED = f"{ICS}, nb AS (SELECT *, row_number() OVER (PARTITION BY factor_id O
 SUBPERIOD = f"WITH {NUMBERED}, fo AS (SELECT *, {fold('k', 'n', 4)} AS fold FROM nb) SELECT factor_id, fold, count(*) AS n, {r('avg(ic)')} AS mean_ic FROM fo GROUP BY factor_id, fold"
 WALK_FORWARD = f"""WITH {NUMBERED}, sk AS (SELECT *, floor(n * 0.3::DOUBLE)::BIGINT AS s FROM nb), fo AS (SELECT *, {fold('(k - s)', '(n - s)', 5)} AS "window" FROM sk WHERE k >= s)
 SELECT factor_id, "window", count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, {r('avg(ic)')} AS mean_ic FROM fo GROUP BY factor_id, "window" """
+SH = "avg(ls) / nullif(stddev_samp(ls), 0) * sqrt(252)"
+WINDOWED = f"""{B}, pairs AS (SELECT factor_id, ts, score AS x, fwd AS y FROM s WHERE score IS NOT NULL AND fwd IS NOT NULL), i AS ({ics('pairs')}),
+nb AS (SELECT *, row_number() OVER (PARTITION BY factor_id ORDER BY ts) - 1 AS k, count(*) OVER (PARTITION BY factor_id) AS n FROM i),
+sk AS (SELECT *, floor(n * 0.3::DOUBLE)::BIGINT AS st FROM nb), fo AS (SELECT *, {fold('(k - st)', '(n - st)', 5)} AS wi FROM sk WHERE k >= st),
+wl AS (SELECT fo.factor_id, fo.wi, fo.ic, ls.ls FROM fo LEFT JOIN ls ON ls.factor_id = fo.factor_id AND ls.ts = fo.ts)"""
+WALK_FORWARD_SHARPE = f"""WITH {WINDOWED} SELECT factor_id, wi AS "window", count(ic) AS n, {r('avg(ic)')} AS mean_ic, {r(SH)} AS sharpe FROM wl GROUP BY factor_id, wi"""
+WALK_FORWARD_SUMMARY = f"""WITH {WINDOWED}, tt AS (SELECT factor_id, avg(ic) AS m, avg(ic) / nullif(stddev_samp(ic), 0) AS ir, {SH} AS sh FROM wl GROUP BY factor_id),
+ew AS (SELECT factor_id, wi, avg(ic) AS w FROM wl GROUP BY factor_id, wi),
+ou AS (SELECT factor_id, count(*) AS n_windows, any_value(m) AS m, any_value(ir) AS ir, any_value(sh) AS sh, min(w) AS worst, avg(CASE WHEN sign(round(w, 12)) = CASE WHEN round(m, 12) < 0 THEN -1 ELSE 1 END THEN 1.0 ELSE 0.0 END) AS c FROM ew JOIN tt USING (factor_id) GROUP BY factor_id)
+SELECT factor_id, n_windows, {r('m')} AS mean_ic, {r('ir')} AS ic_ir, {r('c')} AS sign_consistency, {r('worst')} AS worst_window_ic, {r('sh')} AS sharpe, c >= 0.75 AS stable FROM ou"""
+STABILITY = f"""WITH {NUMBERED}, fo AS (SELECT *, {fold('k', 'n', 4)} AS fold, avg(ic) OVER (PARTITION BY factor_id) AS m FROM nb),
+ef AS (SELECT factor_id, fold, avg(ic) AS f, any_value(m) AS m FROM fo GROUP BY factor_id, fold),
+st AS (SELECT factor_id, any_value(m) AS m, min(f) AS worst, avg(CASE WHEN sign(round(f, 12)) = CASE WHEN round(m, 12) < 0 THEN -1 ELSE 1 END THEN 1.0 ELSE 0.0 END) AS c FROM ef GROUP BY factor_id)
+SELECT factor_id, {r('m')} AS mean_ic, {r('c')} AS consistency, {r('worst')} AS worst, c >= 0.75 AND m <> 0 AS stable FROM st"""
 SENS_RAW = f"""{P}, raw AS (""" + " UNION ALL ".join(f"SELECT '{n}' AS factor_id, ts, symbol, sym_ord, CASE WHEN count(close) OVER w = {n} THEN avg(close) OVER w END AS score, lead(close) OVER o / nullif(close, 0) - 1 AS fwd_1 FROM p {w(n)}" for n in (3, 5, 8)) + ")"
 SENSITIVITY = f"""WITH {SENS_RAW}{preprocessed()}, pairs AS (SELECT factor_id, ts, score AS x, fwd AS y FROM s WHERE score IS NOT NULL AND fwd IS NOT NULL), i AS ({ics('pairs')})
 SELECT factor_id::INT AS w, {r('avg(ic)')} AS mean_ic FROM i GROUP BY factor_id"""
+SENSITIVITY_VERDICT = f"""WITH {SENS_RAW}{preprocessed()}, pairs AS (SELECT factor_id, ts, score AS x, fwd AS y FROM s WHERE score IS NOT NULL AND fwd IS NOT NULL), i AS ({ics('pairs')}),
+v AS (SELECT factor_id, avg(ic) AS v FROM i GROUP BY factor_id), m AS (SELECT avg(v) AS m, stddev_pop(v) AS d FROM v),
+c AS (SELECT any_value(m) AS m, any_value(d) AS d, avg(CASE WHEN sign(v) = CASE WHEN m < 0 THEN -1 ELSE 1 END THEN 1.0 ELSE 0.0 END) AS c FROM v, m)
+SELECT {r('m')} AS mean_ic, {r('d')} AS dispersion, {r('c')} AS consistency, c >= 0.75 AS robust FROM c"""
 PV = "pv AS (SELECT c_nationkey AS family, c_custkey AS factor_id, pow((c_custkey * 7919 % 1000) / 1000.0::DOUBLE, 3.0) AS p FROM customer), rk AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p, factor_id) AS rank, count(*) OVER (PARTITION BY family) AS m FROM pv)"
 BH = f"WITH {PV}, a AS (SELECT *, least(min(p * m / rank) OVER (PARTITION BY family ORDER BY rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1.0) AS q FROM rk) SELECT family, factor_id, rank::INT AS rank, {r('q')} AS p_fdr, q <= 0.05 AS fdr_reject FROM a"
 HOLM = f"WITH {PV}, a AS (SELECT *, least(max(p * (m - rank + 1)) OVER (PARTITION BY family ORDER BY rank ROWS UNBOUNDED PRECEDING), 1.0) AS q FROM rk) SELECT family, factor_id, rank::INT AS rank, {r('q')} AS p_holm, q <= 0.05 AS holm_reject FROM a"
 MOMENTS = f"""WITH {B}, c AS (SELECT *, avg(ls) OVER (PARTITION BY factor_id) AS m FROM ls), mo AS (
   SELECT factor_id, count(*) AS n, any_value(m) AS m, stddev_samp(ls) AS sd, avg(pow(ls - m, 2)) AS m2, avg(pow(ls - m, 3)) AS m3, avg(pow(ls - m, 4)) AS m4 FROM c GROUP BY factor_id)
 SELECT factor_id, n, {r('m / nullif(sd, 0)')} AS sr, {r('m3 / pow(m2, 1.5)')} AS skew, {r('m4 / (m2 * m2)')} AS kurt FROM mo"""
+# Simpson's rule on [0, x]: the normal and the t distribution have no functions in SQL.
+SIMPSON = "CASE WHEN j = 0 OR j = 4000 THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END"
+# Fixed value: (1 - g) z(1 - 1/3) + g z(1 - 1/(3e)), g being Euler's constant and z the normal quantile.
+MAX_OF_THREE = 0.8528044961506948
+DSR = f"""WITH {B}, c AS (SELECT *, avg(ls) OVER (PARTITION BY factor_id) AS m FROM ls), mo AS (
+  SELECT factor_id, count(*) AS n, any_value(m) / stddev_samp(ls) AS sr, avg(pow(ls - m, 3)) / pow(avg(pow(ls - m, 2)), 1.5) AS sk, avg(pow(ls - m, 4)) / pow(avg(pow(ls - m, 2)), 2) AS ku FROM c GROUP BY factor_id),
+va AS (SELECT sqrt(var_samp(sr)) * {MAX_OF_THREE!r} AS e FROM mo),
+zs AS (SELECT factor_id, e, (sr - e) / sqrt((1 - sk * sr + (ku - 1) / 4 * sr * sr) / (n - 1)) AS z FROM mo, va),
+ph AS (SELECT factor_id, any_value(e) AS e, 0.5 + any_value(z) / 12000 / sqrt(2 * pi()) * sum({SIMPSON} * exp(-pow(z * j / 4000, 2) / 2)) AS p FROM zs, range(4001) x(j) GROUP BY factor_id)
+SELECT factor_id, {r('e', 5)} AS expected_max, {r('p', 5)} AS dsr FROM ph"""
+PVALUE = f"""WITH {IC}, i AS ({ics('ranks')}), st AS (SELECT factor_id, abs(avg(ic) / stddev_samp(ic) * sqrt(count(*))) AS t, count(*) - 1 AS v FROM i GROUP BY factor_id),
+ph AS (SELECT factor_id, 1 - 2 * any_value(t) / 12000 * exp(lgamma((any_value(v) + 1) / 2.0) - lgamma(any_value(v) / 2.0)) / sqrt(any_value(v) * pi()) * sum({SIMPSON} * pow(1 + pow(t * j / 4000, 2) / v, -(v + 1) / 2.0)) AS p FROM st, range(4001) x(j) GROUP BY factor_id)
+SELECT factor_id, {r('p', 5)} AS p FROM ph"""
+PBO = f"""WITH {B}, tm AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS k, count(*) OVER () AS n FROM (SELECT ts FROM ls GROUP BY ts HAVING count(*) = 3)),
+bl AS (SELECT factor_id, ls, n, {fold('k', 'n', 6)} AS block FROM ls JOIN tm USING (ts)),
+cb AS (SELECT row_number() OVER (ORDER BY a, b, c) - 1 AS split, a, b, c FROM range(6) x(a), range(6) y(b), range(6) z(c) WHERE a < b AND b < c),
+sr AS (SELECT split, block IN (a, b, c) AS inside, factor_id, avg(ls) / nullif(stddev_samp(ls), 0) AS sr FROM bl, cb GROUP BY ALL),
+be AS (SELECT split, arg_max(factor_id, sr) AS best FROM sr WHERE inside GROUP BY split),
+ou AS (SELECT sr.split, factor_id, sr, max(CASE WHEN factor_id = best THEN sr END) OVER (PARTITION BY sr.split) AS own FROM sr JOIN be USING (split) WHERE NOT inside),
+rk AS (SELECT split, sum(CASE WHEN sr <= own THEN 1.0 ELSE 0.0 END) / (count(*) + 1) AS rank FROM ou GROUP BY split)
+SELECT {r('avg(CASE WHEN rank <= 0.5 THEN 1.0 ELSE 0.0 END)')} AS pbo, (SELECT max(n) FROM bl) AS n FROM rk"""
 CSCV = f"""WITH {B}, tm AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT ts FROM ls)),
 bl AS (SELECT factor_id, ls, {fold('k', 'n', 6)} AS block FROM ls JOIN tm USING (ts)),
 cb AS (SELECT row_number() OVER (ORDER BY a, b, c) - 1 AS split, a, b, c FROM range(6) x(a), range(6) y(b), range(6) z(c) WHERE a < b AND b < c),
@@ -237,18 +276,39 @@ SELECT split::INT AS split, best, {r('sum(CASE WHEN sr <= own THEN 1.0 ELSE 0.0
 PURGED = f"""WITH {P}, tm AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT ts FROM p)), fo AS (SELECT *, {fold('i', 'n', 5)} AS fold FROM tm),
 te AS (SELECT fold, min(i) AS a, max(i) AS b FROM fo GROUP BY fold)
 SELECT te.fold, count(*) AS n_train, min(ts) AS first_ts, max(ts) AS last_ts FROM fo, te WHERE i < a - 2 OR i > b + 5 GROUP BY te.fold"""
-CPCV = f"""WITH ix AS (SELECT i, {fold('i', '100', 6)} AS g FROM range(100) x(i)), gr AS (SELECT g, min(i) AS a, max(i) AS b FROM ix GROUP BY g),
+CPCV = f"""WITH {P}, tm AS (SELECT row_number() OVER (ORDER BY ts) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT ts FROM p)), ix AS (SELECT i, {fold('i', 'n', 6)} AS g FROM tm), gr AS (SELECT g, min(i) AS a, max(i) AS b FROM ix GROUP BY g),
 cb AS (SELECT row_number() OVER (ORDER BY x.g, y.g) - 1 AS split, x.a AS a1, x.b AS b1, y.a AS a2, y.b AS b2 FROM gr x, gr y WHERE x.g < y.g)
 SELECT split::INT AS split, count(*) FILTER (WHERE NOT (i BETWEEN a1 - 2 AND b1 + 5) AND NOT (i BETWEEN a2 - 2 AND b2 + 5)) AS n_train, count(*) FILTER (WHERE i BETWEEN a1 AND b1 OR i BETWEEN a2 AND b2) AS n_test,
   min(a1) AS first_test, max(b2) AS last_test FROM cb, ix GROUP BY split"""
 DEDUP = f"""WITH {S}, v AS (SELECT * FROM s WHERE score IS NOT NULL), pr AS (SELECT x.factor_id AS a, y.factor_id AS b, x.score AS x, y.score AS y FROM v x JOIN v y ON x.ts = y.ts AND x.symbol = y.symbol AND x.factor_id < y.factor_id)
 SELECT a, b, count(*) AS overlap, {r(f'CASE WHEN count(*) >= 30 THEN {CORR} END')} AS rho FROM pr GROUP BY a, b"""
-CAPACITY = f"""WITH c AS (SELECT s_suppkey, abs(s_acctbal) / 1e6 AS g, 3.0 / 1e4 * 0.5 + 50.0 / 1e4 / 252 AS f, 0.1 * 0.02 * sqrt(0.05 / (1e6 + abs(s_acctbal))) * 0.5 AS c FROM supplier)
-SELECT s_suppkey, {r('CASE WHEN g <= f THEN 0.0 ELSE pow((g - f) / c, 2.0) END', 2)} AS capacity_usd FROM c"""
+RHO = f"{S}, v AS (SELECT * FROM s WHERE score IS NOT NULL), pr AS (SELECT x.factor_id AS a, y.factor_id AS b, x.score AS x, y.score AS y FROM v x JOIN v y ON x.ts = y.ts AND x.symbol = y.symbol AND x.factor_id <> y.factor_id), rh AS (SELECT a, b, CASE WHEN count(*) >= 30 THEN {CORR} END AS rho FROM pr GROUP BY a, b)"
+NEAREST = f"WITH {RHO} SELECT a AS factor_id, b AS nearest, {r('rho')} AS rho FROM rh WHERE rho IS NOT NULL QUALIFY row_number() OVER (PARTITION BY a ORDER BY abs(rho) DESC, b) = 1"
+NOVELTY = f"""WITH {RHO}, al AS (SELECT a, b FROM rh WHERE abs(rho) >= 0.7),
+nm(factor_id, family, base) AS (VALUES ('momentum', 'momentum', 'momentum'), ('reversal', 'reversal', 'reversal'), ('volume', 'volume', 'volume'), ('again', 'momentum', 'momentum'), ('against', 'reversal', 'momentum')),
+pr2 AS (SELECT x.factor_id, (x.base = y.base AND x.factor_id IN ('momentum', 'again') AND y.factor_id IN ('momentum', 'again'))::BIGINT AS same, (x.base = y.base OR (x.base, y.base) IN (SELECT (a, b) FROM al))::BIGINT AS alike FROM nm x JOIN nm y ON x.factor_id <> y.factor_id),
+su AS (SELECT factor_id, sum(same)::BIGINT AS same, sum(alike)::BIGINT AS alike FROM pr2 GROUP BY factor_id)
+SELECT factor_id, family, same, alike, same + alike > 0 AS duplicate FROM su JOIN nm USING (factor_id)"""
+CAPACITY = f"""WITH {STATS}, kk AS (SELECT *, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS kn FROM p),
+rt AS (SELECT *, kn / nullif(lag(kn) OVER (PARTITION BY symbol ORDER BY ts), 0) - 1 AS ret FROM kk), la AS (SELECT DISTINCT ts FROM p ORDER BY ts DESC LIMIT 63),
+pf AS (SELECT symbol, median(volume * close) AS adv, stddev_samp(ret) AS vol FROM rt WHERE ts IN (SELECT ts FROM la) GROUP BY symbol),
+cs AS (SELECT factor_id, abs(any_value(gross)) AS g, 3.0 / 1e4 * any_value(turnover) + 50.0 / 1e4 / 252 AS f, any_value(turnover) * avg(0.1 * vol * sqrt(turnover / (SELECT count(*) FROM pf) / adv)) AS c FROM st, pf GROUP BY factor_id)
+SELECT factor_id, {r('log10(1 + CASE WHEN g <= f THEN 0.0 ELSE pow((g - f) / c, 2.0) END)')} AS log_capacity FROM cs"""
+METRICS = f"""WITH {STATS}, pairs AS (SELECT factor_id, ts, score AS x, fwd AS y FROM s WHERE score IS NOT NULL AND fwd IS NOT NULL),
+ranks AS (SELECT factor_id, ts, rank() OVER ({FT} ORDER BY x) + (count(*) OVER ({FT}, x) - 1) / 2.0 AS x, rank() OVER ({FT} ORDER BY y) + (count(*) OVER ({FT}, y) - 1) / 2.0 AS y FROM pairs), i AS ({ics('ranks')}),
+ii AS (SELECT factor_id, count(*) AS n, avg(ic) AS m, avg(ic) / stddev_samp(ic) * sqrt(count(*)) AS t FROM i GROUP BY factor_id),
+cv AS (SELECT factor_id, avg(c) AS coverage FROM (SELECT factor_id, ts, count(score) * 1.0 / count(*) AS c FROM s GROUP BY factor_id, ts) GROUP BY factor_id),
+au AS (SELECT factor_id, avg(c) AS autocorr FROM (SELECT factor_id, ts, {CORR} AS c FROM (SELECT factor_id, ts, score AS x, lag(score) OVER (PARTITION BY factor_id, symbol ORDER BY ts) AS y FROM s) WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY factor_id, ts) GROUP BY factor_id)
+SELECT factor_id, n AS n_periods, {r('m')} AS mean_ic, {r('t')} AS ic_t_stat, {r('gross / nullif(sd, 0) * sqrt(252)')} AS sharpe, {r('turnover')} AS turnover, {r('coverage')} AS coverage, {r('autocorr')} AS autocorr
+FROM st JOIN ii USING (factor_id) JOIN cv USING (factor_id) JOIN au USING (factor_id)"""
+DECISIONS = """SELECT s_suppkey, CASE WHEN s_suppkey % 11 = 0 THEN 'duplicate'
+  WHEN (s_suppkey % 7 <> 0 AND abs(x / 10) < 0.01) OR abs(x * 6) < 2.0 OR abs(x) > 0.9 THEN 'rejected_in_development'
+  WHEN s_suppkey % 3 = 0 OR abs(1 - x) < 0.6 OR (s_suppkey % 5 <> 0 AND x * x > 0.7) THEN 'rejected_after_robustness' ELSE 'research_survivor' END AS state
+FROM (SELECT s_suppkey, s_acctbal / 10000 AS x FROM supplier)"""
 SPLIT = f"""WITH {P}, tm AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT ts FROM p)),
 cu AS (SELECT max(CASE WHEN k <= floor(n * 0.6::DOUBLE) - 1 THEN ts END) AS a, max(CASE WHEN k <= floor(n * 0.8::DOUBLE) - 1 THEN ts END) AS b FROM tm)
 SELECT CASE WHEN ts <= a THEN 'train' WHEN ts <= b THEN 'valid' ELSE 'test' END AS part, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM p, cu GROUP BY part"""
-TRIALS = "SELECT family, status, count(*) AS trials FROM (SELECT o_orderpriority AS family, o_custkey, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS status FROM orders GROUP BY family, o_custkey) GROUP BY family, status"
+TRIALS = "SELECT 'f' || s_nationkey AS family, CASE WHEN s_acctbal < 0 THEN 'rejected_in_development' ELSE 'recorded' END AS status, count(*) AS trials FROM supplier GROUP BY ALL"
 LINEAGE = """WITH RECURSIVE chain(start, node, depth) AS (
   SELECT s_suppkey, s_suppkey, 0 FROM supplier
   UNION ALL SELECT start, CAST(floor(node / 2) AS BIGINT), depth + 1 FROM chain WHERE node > 1

@@ -33,12 +33,17 @@ class Metadata:
     version: str = ""
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df, written to the folder in spark.checkpoint.dir and read from there, so that plans that use it often make it once. Only
-    where that is unset, as in tests on one machine, the folder is one of its own."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; only where that is unset, as in tests on one machine, one of its own."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/crosswind-{os.getpid()}")
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/crosswind-{os.getpid()}")
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read from there, so that plans that use it often make it once."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
