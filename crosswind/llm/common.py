@@ -70,12 +70,12 @@ HOT, SPREAD = 1 / 1000, 64
 
 
 def spread_join(rows: DataFrame, facts: DataFrame, key: str, n: str, by: Column) -> DataFrame:
-    """rows joined to facts, which has one row for each key and how many rows have it in n; ``by`` deals the rows of hot keys.
+    """rows joined to facts, which tells for each key in n how many rows have it; ``by`` deals the rows of hot keys.
 
     The hot keys - fewer than 1 / HOT by definition - are broadcast to mark rows; their facts are repeated for each of SPREAD salts.
     """
     total = facts.agg(F.sum(n)).first()[0] or 0
-    hot = F.broadcast(facts.filter(F.col(n) > F.lit(total * HOT + SPREAD)).select(key, F.lit(True).alias("hot_key")))
+    hot = F.broadcast(facts.filter(F.col(n) > F.lit(total * HOT + SPREAD)).select(key, F.lit(True).alias("hot_key")).distinct())
     salted = rows.withColumn("spread_by", by).join(hot, key, "left")
     salted = salted.withColumn("salt", F.when(F.col("hot_key"), F.pmod("spread_by", F.lit(SPREAD))).otherwise(F.lit(0)).cast("int")).drop("hot_key", "spread_by")
     copies = facts.withColumn("salt", F.explode(F.when(F.col(n) > F.lit(total * HOT + SPREAD), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))))

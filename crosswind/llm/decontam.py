@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosswind.llm.common import checkpointed, slices, text_bytes
+from crosswind.llm.common import checkpointed, slices, spread_join, text_bytes
 
 WIDTH = 10
 #: Bits of the maps of words; more words only make the maps less selective.
@@ -41,7 +41,7 @@ def _bit_map(rows: DataFrame, column: str) -> bytes:
         return w.map(lambda x: _bit(x.encode()))
 
     bits = np.zeros(1 << MAP_BITS, np.uint8)
-    bits[[r[0] for r in rows.select(bit(column).alias("bit")).distinct().collect()]] = 1
+    bits[rows.select(bit(column).alias("bit")).distinct().toArrow().column(0).to_numpy()] = 1
     return np.packbits(bits).tobytes()
 
 
@@ -126,7 +126,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> Data
     """
     windows = checkpointed(item_windows(items, width=width))
     vocabulary = windows.select(F.explode("words").alias("word")).distinct()
-    counts = _counts(docs, _bit_map(vocabulary, "word"))
+    counts = checkpointed(_counts(docs, _bit_map(vocabulary, "word")))
     windows = windows.withColumn("window", F.array_join("words", " "))
     in_words = windows.select("window", "n", F.posexplode("words").alias("offset", "word")).distinct()
     rarest = in_words.join(counts, "word", "left").groupBy("window", "n").agg(F.min(F.struct(F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "word", "offset")).alias("rarest"))
@@ -134,7 +134,9 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> Data
     prefixes = checkpointed(rarest.filter("rarest.n_docs > 0").select("window", "n", F.col("rarest.word").alias("word"), F.col("rarest.offset").alias("offset")))
     places = checkpointed(_places(docs, _bit_map(prefixes, "word"), width))
     spots = places.select("row", F.explode("places").alias("p")).select("row", "p.*")
-    near = spots.join(prefixes, "word").filter((F.col("offset") <= F.col("left")) & (F.col("left") - F.col("offset") + F.col("n") <= F.size("around")))
+    sought = checkpointed(prefixes.join(counts, "word").select("word", "window", "n", "offset", "n_docs"))
+    near = spread_join(spots, sought, "word", "n_docs", F.xxhash64("row", "place"))
+    near = near.filter((F.col("offset") <= F.col("left")) & (F.col("left") - F.col("offset") + F.col("n") <= F.size("around")))
     hits = near.filter(F.array_join(F.slice("around", F.col("left") - F.col("offset") + 1, F.col("n")), " ") == F.col("window")).select("row", (F.col("place") - F.col("offset")).alias("start"), "n", "window")
     hits = checkpointed(hits.distinct())
     covered = F.flatten(F.transform(F.collect_set(F.struct("start", "n")), lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1)))
