@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosswind.llm.common import checkpointed, lower_words, slices, text_bytes
+from crosswind.llm.common import checkpointed, lower_words, slices, spread_join, text_bytes
 from crosswind.llm.components import components
 
 SHINGLE = 4
@@ -31,6 +31,9 @@ SEGMENTS = ((0, 23), (23, 23), (46, 18))
 GENERATOR = 0b101011100011
 #: Fingerprints with one key that one task compares; larger sets are split into blocks, and every two blocks compared.
 BLOCK = 1 << 16
+#: Fingerprints whose keys one task makes.
+FAN_OUT = 1 << 14
+
 
 def fingerprint(text: bytes | str | None) -> int:
     """Bits that are set in over half the shingle hashes; zero without words."""
@@ -196,7 +199,8 @@ def links(bits: DataFrame) -> DataFrame:
         return dealt.select(F.xxhash64(*by).alias("key") if len(by) > 1 else F.col("key"), "bits").mapInArrow(_link_batches, "a long, b long")
 
     n = bits.count()
-    keys = bits.repartition("bits").mapInArrow(keyed, "key long, bits long")
+    # each fingerprint becomes some 60 rows of 16 bytes: a task's share of them is FAN_OUT fingerprints, whatever a shuffle would merge
+    keys = bits.repartition(max(1, -(-n // FAN_OUT)), "bits").mapInArrow(keyed, "key long, bits long")
     if n <= BLOCK:
         return link(keys, "key")
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
@@ -216,12 +220,13 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ids take part but are never a component's id unless all of it is null; repeated rows stay. An empty table gives none.
     """
     rows = checkpointed(fingerprints(docs, id_col, text_col))
-    once = checkpointed(rows.groupBy("bits").agg(F.min(id_col).alias("least")))
+    once = checkpointed(rows.groupBy("bits").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("copies")))
     parts = components(links(once.select("bits")))
     named = once.join(parts.withColumnRenamed("node", "bits"), "bits", "left").withColumn("component", F.coalesce("component", "bits"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.select("bits", "component").join(least, "component").select("bits", "component_id")
-    return rows.join(named, "bits").select(id_col, "bits", "component_id")
+    named = checkpointed(named)
+    least = checkpointed(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    sizes = checkpointed(spread_join(named.select("bits", "component", "copies"), least, "component", "n", F.col("bits")).select("bits", "component_id", "copies"))
+    return spread_join(rows, sizes, "bits", "copies", F.xxhash64(id_col)).select(id_col, "bits", "component_id")
 
 
 def document_groups(docs: DataFrame) -> DataFrame:
