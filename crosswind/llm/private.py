@@ -39,22 +39,54 @@ FEATURES = ["kind", "chars", "digits", "upper", "lower", "other", "hex_only", "s
 CUES = r"(?i)(?:password|passwd|pwd|secret|token|key|bearer|login|phone|tel|fax|call|ssn|mail|contact)[^a-z]{0,4}$"
 
 
+#: Items that are gathered into one array before it is set beside others like it, and so on LEVELS times: an array that grows
+#: by one item is copied each time.
+TOGETHER, LEVELS = 32, 2
+
+
+def scanned(items: Column, start: Column, out: str, step) -> Column:
+    """What ``step`` gives out, an array of type ``out`` for each item in turn; step takes the state and an item, and gives the next
+    state and that array. Each item is copied some TOGETHER times a level, whatever their number."""
+
+    def one(acc: Column, x: Column) -> Column:
+        state, more = step(acc["state"], x)
+        return F.struct(state.alias("state"), F.concat(acc["out"], more).alias("out"))
+
+    def level(k: int, state: Column, xs: Column) -> Column:
+        if k == 0:
+            return F.aggregate(xs, F.struct(state.alias("state"), F.array().cast(out).alias("out")), one)
+
+        def chunk(acc: Column, part: Column) -> Column:
+            return let(level(k - 1, acc["state"], part), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+        size = TOGETHER**k
+        parts = F.transform(F.sequence(F.lit(0), F.greatest(F.size(xs) - 1, F.lit(0)), F.lit(size)), lambda at: F.slice(xs, at + 1, F.lit(size)))
+        return F.aggregate(parts, F.struct(state.alias("state"), F.array().cast(f"array<{out}>").alias("out")), chunk, lambda acc: F.struct(acc["state"].alias("state"), F.flatten(acc["out"]).alias("out")))
+
+    return level(LEVELS, start, items)["out"]
+
+
+SPANS = "array<struct<from:int,to:int,match:string,before:string>>"
+
+
 def _spans(text: Column, pattern: str) -> Column:
-    """Places of a pattern's leftmost matches, one after the other: structs of from, to (code points, end exclusive) and match."""
+    """Places of a pattern's leftmost matches, one after the other: structs of from, to (code points, end exclusive), match, and
+    before, up to 16 code points that stand in front of it."""
 
     def placed(parts: Column, found: Column) -> Column:
-        steps = F.zip_with(F.slice(parts, F.lit(1), F.size(found)), found, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("match")))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<from:int,to:int,match:string>>").alias("spans"))
+        items = F.zip_with(F.slice(parts, F.lit(1), F.size(found)), found, lambda p, m: F.struct(p.alias("gap"), m.alias("match")))
 
-        def step(acc: Column, x: Column) -> Column:
-            begin = acc["at"] + x["gap"]
+        def step(state: Column, x: Column):
+            front = F.substring(F.concat(state["tail"], F.substring(x["gap"], -16, 16)), -16, 16)
+            begin = state["at"] + F.length(x["gap"])
             end = begin + F.length(x["match"])
-            return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(begin.alias("from"), end.alias("to"), x["match"].alias("match")))).alias("spans"))
+            new = F.struct(end.alias("at"), F.substring(F.concat(front, F.substring(x["match"], -16, 16)), -16, 16).alias("tail"))
+            return new, F.array(F.struct(begin.alias("from"), end.alias("to"), x["match"].alias("match"), front.alias("before")))
 
-        return F.aggregate(steps, start, step)["spans"]
+        return scanned(items, F.struct(F.lit(0).alias("at"), F.lit("").alias("tail")), SPANS, step)
 
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    none = F.array().cast("array<struct<from:int,to:int,match:string>>")
+    none = F.array().cast(SPANS)
     return let(found, lambda found: F.when(F.size(found) == 0, none).otherwise(let(F.split(text, pattern, -1), lambda parts: placed(parts, found))))
 
 
@@ -102,12 +134,11 @@ def _count(s: Column, pattern: str) -> Column:
     return F.regexp_count(s, F.lit(pattern)).cast("double")
 
 
-def _featured(kind: str, number: int, text: Column):
+def _featured(kind: str, number: int):
     """What makes a candidate of a generator's match."""
 
     def candidate(x: Column) -> Column:
-        m = x["match"]
-        before = F.substring(text, F.greatest(x["from"] - 15, F.lit(1)), F.least(F.lit(16), x["from"]))
+        m, before = x["match"], x["before"]
         return F.struct(
             F.lit("secret" if kind in ("secret", "keyed") else "phone" if kind == "number" else "email").alias("as"),
             x["from"].alias("from"),
@@ -134,7 +165,7 @@ def _featured(kind: str, number: int, text: Column):
 
 def _candidates(text: Column) -> Column:
     """Proposed spans with their features."""
-    return F.concat(*(let(_spans(text, pattern), lambda spans: F.transform(spans, _featured(kind, k, text))) for k, (kind, pattern) in enumerate(GENERATORS.items())))
+    return F.concat(*(let(_spans(text, pattern), lambda spans: F.transform(spans, _featured(kind, k))) for k, (kind, pattern) in enumerate(GENERATORS.items())))
 
 
 def _label(kind: str, m: Column, x: Column, before: Column) -> Column:
@@ -169,17 +200,25 @@ def learnt(found: DataFrame, sample: int = SAMPLE) -> boosting.Boosted:
 
 
 def _chosen(base: Column, candidates: Column) -> Column:
-    """Selected candidates by place, longest first; one that overlaps a base span or one chosen before is left out."""
-    inside = lambda c, b: (c["from"] < b["to"]) & (b["from"] < c["to"])
-    plain = F.transform(candidates, lambda c: F.struct(c["from"].alias("from"), (-c["to"]).alias("back"), c["as"].alias("kind"), c["to"].alias("to")))
-    free = F.filter(F.array_distinct(F.sort_array(plain)), lambda c: ~F.exists(base, lambda b: inside(c, b)))
-    start = F.struct(F.lit(-1).alias("at"), F.array().cast("array<struct<kind:string,from:int,to:int>>").alias("spans"))
+    """Selected candidates by place, longest first; one that overlaps a base span or one chosen before is left out.
+
+    Base spans and candidates are gone through together, first from the end, where the next base span is known, then from the
+    begin, where the end of the last one is."""
+    kind = "struct<from:int,fixed:boolean,back:int,kind:string,to:int>"
+    item = lambda c, name, fixed: F.struct(c["from"].alias("from"), F.lit(fixed).alias("fixed"), (-c["to"]).alias("back"), c[name].alias("kind"), c["to"].alias("to"))
+    every = F.sort_array(F.concat(F.transform(base, lambda b: item(b, "kind", True)), F.transform(candidates, lambda c: item(c, "as", False))), asc=False)
+    none = F.array().cast(f"array<{kind}>")
+
+    def behind(state: Column, x: Column):
+        return F.when(x["fixed"], x["from"]).otherwise(state), F.when(x["fixed"] | (x["to"] <= state), F.array(x)).otherwise(none)
 
-    def step(acc: Column, c: Column) -> Column:
-        taken = F.struct(c["to"].alias("at"), F.concat(acc["spans"], F.array(F.struct(c["kind"].alias("kind"), c["from"].alias("from"), c["to"].alias("to")))).alias("spans"))
-        return F.when(c["from"] >= acc["at"], taken).otherwise(acc)
+    def ahead(state: Column, x: Column):
+        new = ~x["fixed"] & (x["from"] >= state)
+        taken = F.array(F.struct(x["kind"].alias("kind"), x["from"].alias("from"), x["to"].alias("to")))
+        return F.when(x["fixed"] | new, F.greatest(state, x["to"])).otherwise(state), F.when(new, taken).otherwise(F.array().cast("array<struct<kind:string,from:int,to:int>>"))
 
-    return F.aggregate(free, start, step)["spans"]
+    kept = scanned(every, F.lit(2**31 - 1), f"array<{kind}>", behind)
+    return let(kept, lambda kept: scanned(F.reverse(kept), F.lit(0), "array<struct<kind:string,from:int,to:int>>", ahead))
 
 
 def detected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
