@@ -4,7 +4,7 @@ import __spark_entry__ as entry
 from crosswind.plans import catalogue
 
 
-@pytest.mark.parametrize("name", ["panel_ohlcv", "ts_ewm", "ts_rank", "cs_winsor", "nested_ts_cs_ts", "preprocess_default", "eligibility_pit", "ic_decay", "quantile_buckets", "portfolio_stats", "backtest", "regime_ic", "walk_forward", "bh", "holm", "pbo_cscv", "cpcv_splits", "dedup_pairs", "data_split", "lineage"])
+@pytest.mark.parametrize("name", ["panel_ohlcv", "ts_ewm", "ts_rank", "cs_winsor", "nested_ts_cs_ts", "preprocess_default", "eligibility_pit", "ic_decay", "quantile_buckets", "portfolio_stats", "backtest", "regime_ic", "walk_forward", "bh", "holm", "pbo_cscv", "cpcv_splits", "dedup_pairs", "data_split", "lineage", "walk_forward_sharpe", "walk_forward_summary", "stability", "param_verdict", "purged_kfold", "pbo_value", "dsr_value", "ic_pvalue", "novelty", "capacity", "family_metrics", "decisions", "source_long", "source_csv", "registry_trial_counts"])
 def test_query_matches_its_sql(same, name):
     same(name)
 
