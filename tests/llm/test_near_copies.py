@@ -189,3 +189,41 @@ def test_every_partner_counts(spark):
         want = len(((with_p if i in with_p else set()) | (with_q if i in with_q else set())) - {i})
         assert got[i] in ((want, want + 1) if i in with_p else (want,))
     assert got[61] >= 1 and all(got[i] == 0 for i in range(41, 61) if i % 4)
+
+
+def test_words_of_shingles_are_told_apart():
+    rng, shingles = random.Random(14), passages.Shingles()
+    texts = [b"", b" \x0b\t", b"a", b"A b\x0bc\x0cd\re\nF", "É é ß\x1cx".encode(), b"x" * 5000 + b" " + b"x" * 5001, " ".join(made(rng, 3000)).encode(), bytes(range(1, 256))]
+    seen = {}
+    for t in texts:
+        own = t.lower().split()
+        h = shingles.words(t).tolist()
+        assert len(h) == len(own)
+        for w, x in zip(own, h):
+            assert seen.setdefault(w, x) == x
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_recall_of_near_copies_and_one_row_an_id(spark):
+    """Passages of 60 words with one to three changed, at 0.8 or more, against the pairs that there are."""
+    rng = random.Random(15)
+    rows, want = [], set()
+    for k in range(120):
+        p = made(rng, 80)
+        q = list(p)
+        for at in rng.sample(range(80), rng.randint(1, 2)):
+            q[at] = "changed"
+        grams = [{tuple(x[i : i + 5]) for i in range(76)} for x in (p, q)]
+        if len(grams[0] & grams[1]) >= 0.8 * len(grams[0] | grams[1]):
+            want.add((2 * k, 2 * k + 1))
+        rows += [(2 * k, " ".join(made(rng, 50) + p + made(rng, 40))), (2 * k + 1, " ".join(made(rng, 30) + q + made(rng, 60)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found, *_ = passages.near_passages(docs)
+    got = {(r.a, r.b) for r in found.collect()}
+    assert len(want) > 60 and len(got & want) >= 0.9 * len(want) and all(b == a + 1 and a % 2 == 0 for a, b in got)
+    p = " ".join(made(rng, 60))
+    twice = [(1, p), (1, p), (1, p), (2, p + " more"), (2, "something else"), (3, "x " * 30_000), (3, "x " * 30_000), (4, "x " * 29_000 + "y"), (5, None), (None, p)]
+    out = passages.document_passages(spark.createDataFrame([(i, x, 7, "r") for i, x in twice], "doc_id long, text string, rep int, body string")).collect()
+    assert sorted((r.doc_id for r in out), key=str) == [1, 2, 3, 4, 5, None]
+    classes = {r.doc_id: r.class_id for r in out}
+    assert classes[1] == classes[2] == 1 and classes[3] == classes[4] == 3 and classes[5] == 5 and classes[None] is None
