@@ -12,7 +12,7 @@ from functools import cache
 
 import numpy as np
 
-CONTEXT, STRIDE, WIDTH, HIDDEN = 16, 32, 16, 32
+CONTEXT, STRIDE, WIDTH, HIDDEN = 32, 32, 16, 32
 CLASSES, MEMBERS = 32, 64
 IDS = CLASSES * MEMBERS
 #: The last ids: end of the text; beginning of it; nothing (masked).
