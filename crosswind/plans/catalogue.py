@@ -302,8 +302,9 @@ def pbo_value(spark, sf_dir):
 @query("dsr_value", sql.DSR)
 def dsr_value(spark, sf_dir):
     rows = stats.return_moments(analytics.long_short(analytics.quantile_buckets(judged(spark, sf_dir)))).collect()  # a row for each factor
-    variance = statistics.variance(r["sr"] for r in rows)
-    got = [(r["factor_id"], stats.expected_max_sharpe(3, variance), stats.deflated_sharpe(r["n"], r["sr"], r["skew"], r["kurt"], 3, variance)) for r in rows]
+    known = [r["sr"] for r in rows if r["sr"] is not None]
+    variance = statistics.variance(known) if len(known) > 1 else None
+    got = [(r["factor_id"], stats.expected_max_sharpe(3, variance or 0.0), stats.deflated_sharpe(r["n"], r["sr"], r["skew"], r["kurt"], 3, variance)) for r in rows]
     return rounded(spark.createDataFrame(got, "factor_id string, expected_max double, dsr double"), 5)
 
 
@@ -345,13 +346,13 @@ def capacity(spark, sf_dir):
 
 @query("family_metrics", sql.METRICS)
 def family_metrics(spark, sf_dir):
-    """What a study measures of each factor."""
+    """What a study measures of each factor that has ICs."""
     specs = [make_factor(k, v) for k, v in FACTORS.items()]
     got, scores, ls = study.evaluate_family(panels.trade_panel(spark, sf_dir), specs)
     scores.unpersist()
     ls.unpersist()
     names = ("n_periods", "mean_ic", "ic_t_stat", "sharpe", "turnover", "coverage", "autocorr")
-    return rounded(spark.createDataFrame([(k, *(m[n] for n in names)) for k, m in got.items()], "factor_id string, n_periods long, " + ", ".join(f"{n} double" for n in names[1:])))
+    return rounded(spark.createDataFrame([(k, *(m[n] for n in names)) for k, m in got.items() if m["n_periods"]], "factor_id string, n_periods long, " + ", ".join(f"{n} double" for n in names[1:])))
 
 
 @query("decisions", sql.DECISIONS)

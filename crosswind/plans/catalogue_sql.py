@@ -238,7 +238,7 @@ SELECT factor_id::INT AS w, {r('avg(ic)')} AS mean_ic FROM i GROUP BY factor_id"
 SENSITIVITY_VERDICT = f"""WITH {SENS_RAW}{preprocessed()}, pairs AS (SELECT factor_id, ts, score AS x, fwd AS y FROM s WHERE score IS NOT NULL AND fwd IS NOT NULL), i AS ({ics('pairs')}),
 v AS (SELECT factor_id, avg(ic) AS v FROM i GROUP BY factor_id), m AS (SELECT avg(v) AS m, stddev_pop(v) AS d FROM v),
 c AS (SELECT any_value(m) AS m, any_value(d) AS d, avg(CASE WHEN sign(v) = CASE WHEN m < 0 THEN -1 ELSE 1 END THEN 1.0 ELSE 0.0 END) AS c FROM v, m)
-SELECT {r('m')} AS mean_ic, {r('d')} AS dispersion, {r('c')} AS consistency, c >= 0.75 AS robust FROM c"""
+SELECT {r('m')} AS mean_ic, {r('d')} AS dispersion, {r('c')} AS consistency, coalesce(c >= 0.75, false) AS robust FROM c"""
 PV = "pv AS (SELECT c_nationkey AS family, c_custkey AS factor_id, pow((c_custkey * 7919 % 1000) / 1000.0::DOUBLE, 3.0) AS p FROM customer), rk AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p, factor_id) AS rank, count(*) OVER (PARTITION BY family) AS m FROM pv)"
 BH = f"WITH {PV}, a AS (SELECT *, least(min(p * m / rank) OVER (PARTITION BY family ORDER BY rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1.0) AS q FROM rk) SELECT family, factor_id, rank::INT AS rank, {r('q')} AS p_fdr, q <= 0.05 AS fdr_reject FROM a"
 HOLM = f"WITH {PV}, a AS (SELECT *, least(max(p * (m - rank + 1)) OVER (PARTITION BY family ORDER BY rank ROWS UNBOUNDED PRECEDING), 1.0) AS q FROM rk) SELECT family, factor_id, rank::INT AS rank, {r('q')} AS p_holm, q <= 0.05 AS holm_reject FROM a"
@@ -265,7 +265,7 @@ sr AS (SELECT split, block IN (a, b, c) AS inside, factor_id, avg(ls) / nullif(s
 be AS (SELECT split, arg_max(factor_id, sr) AS best FROM sr WHERE inside GROUP BY split),
 ou AS (SELECT sr.split, factor_id, sr, max(CASE WHEN factor_id = best THEN sr END) OVER (PARTITION BY sr.split) AS own FROM sr JOIN be USING (split) WHERE NOT inside),
 rk AS (SELECT split, sum(CASE WHEN sr <= own THEN 1.0 ELSE 0.0 END) / (count(*) + 1) AS rank FROM ou GROUP BY split)
-SELECT {r('avg(CASE WHEN rank <= 0.5 THEN 1.0 ELSE 0.0 END)')} AS pbo, (SELECT max(n) FROM bl) AS n FROM rk"""
+SELECT {r('avg(CASE WHEN rank <= 0.5 THEN 1.0 ELSE 0.0 END)')} AS pbo, coalesce((SELECT max(n) FROM bl), 0) AS n FROM rk"""
 CSCV = f"""WITH {B}, tm AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT ts FROM ls)),
 bl AS (SELECT factor_id, ls, {fold('k', 'n', 6)} AS block FROM ls JOIN tm USING (ts)),
 cb AS (SELECT row_number() OVER (ORDER BY a, b, c) - 1 AS split, a, b, c FROM range(6) x(a), range(6) y(b), range(6) z(c) WHERE a < b AND b < c),
