@@ -192,7 +192,7 @@ def run_family_study(panel: DataFrame, specs: list[FactorSpec], family: str, reg
             duplicate = bool(dedup.syntactic_duplicates(s, stronger)) or any(abs(v) >= rules.max_correlation for v in near.values())
             mom, own = moments.get(s.factor_id, {}), np.array([wide[s.factor_id][t] for t in sorted(wide[s.factor_id])])
             dsr = stats.deflated_sharpe(mom.get("n", 0), mom.get("sr"), mom.get("skew"), mom.get("kurt"), trials, variance)
-            ci, paths = stats.block_bootstrap(own, "mean", n_boot=2 * n_boot, seed=seed), stats.cpcv_paths(own)
+            ci, paths = stats.block_bootstrap(own, "sharpe", n_boot=2 * n_boot, seed=seed), stats.cpcv_paths(own)
             res.statistics = overall | {"p_value": bh[s.factor_id]["p"], "p_fdr": bh[s.factor_id]["p_fdr"], "fdr_reject": bh[s.factor_id]["fdr_reject"], "p_holm": hm[s.factor_id]["p_holm"], "holm_reject": hm[s.factor_id]["holm_reject"], "dsr": dsr, "ci_low": ci.low, "ci_high": ci.high, "cpcv_median": paths.median, "cpcv_frac_positive": paths.frac_positive, "nearest": top, "nearest_corr": near.get(top), "semantic_family": dedup.classify(s.tree)}
             res.state, res.reasons = decide(res.metrics, duplicate, res.statistics["fdr_reject"], dsr, near.get(top), rules)
         registry.update({r.experiment_id: {"status": r.state.value, "failure_reason": "; ".join(r.reasons), "metrics_json": as_json(r.metrics | r.statistics)} for r in results[: len(good)]})

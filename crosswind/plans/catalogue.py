@@ -425,7 +425,7 @@ def family_study(spark, sf_dir):
     """Decisions on a family of templates over the weekly panel, with its tests and registry: no SQL, as they rest on bootstraps."""
     store = registry.Registry(spark, f"{panels.shared_folder(spark)}/registry-{uuid4()}")
     panel = panels.settled(panels.filled(panels.trade_panel(spark, sf_dir)))
-    done = study.run_family_study(panel, generate.from_templates((4, 8)), "templates", store, universe=universe.static_universe(panel))
+    done = study.run_family_study(panel, generate.from_templates((5, 10)), "templates", store, universe=universe.static_universe(panel))
     names = ("mean_ic", "ic_t_stat", "turnover", "p_value", "p_fdr", "dsr", "pbo", "white_rc_p", "spa_p")
     rows = [(r.spec.factor_id, r.state.value, r.statistics.get("semantic_family"), store_n, *((r.metrics | r.statistics).get(n) for n in names)) for r, store_n in ((r, done.statistics["trial_count"]) for r in done.results)]
     return rounded(spark.createDataFrame(rows, "factor_id string, state string, semantic string, trials long, " + ", ".join(f"{n} double" for n in names)))
