@@ -74,8 +74,8 @@ def test_shards_and_slots_against_the_walk(spark):
     assert got == want
 
 
-def plain_lines(docs, run):
-    """Texts after line dedup, by every window of every document in order."""
+def plain_lines(docs, run, long_words=None):
+    """Texts after line dedup, by every window of every document in order; windows of fewer lines count with long_words words."""
     trim = lambda x: x.strip(" \t\r\x0b\x0c")
     seen, out = {}, {}
     for i, text in sorted(docs.items()):
@@ -87,6 +87,14 @@ def plain_lines(docs, run):
             if key in seen:
                 gone.update(full[s : s + size])
             seen.setdefault(key, (i, s))
+        for short in range(1, run) if long_words else ():
+            for s in range(len(full) - short + 1):
+                part = [trim(lines[k]) for k in full[s : s + short]]
+                if sum(len(x.split()) for x in part) >= long_words:
+                    key = ("long", tuple(part))
+                    if key in seen:
+                        gone.update(full[s : s + short])
+                    seen.setdefault(key, (i, s))
         out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
     return out
 
@@ -107,6 +115,28 @@ def test_line_runs_against_every_window(spark, run):
     assert all(tuple(r[n] for n in names) == before[r.doc_id] for r in rows)
 
 
+@pytest.mark.parametrize("run", [1, 2, 3, 4])
+def test_long_lines_are_runs_by_themselves(spark, run):
+    rng = np.random.default_rng(run)
+    every = ["a b c d e f", " b c\td e f g ", "x", "y z", "", "p q r", "s t u v w"]
+    docs = {i: "\n".join(rng.choice(every, rng.integers(0, 12))) for i in range(40)}
+    docs[50], docs[51], docs[52] = "one two three four five six", "own\none two three four five six\nother", "one two three\nfour five six\n"
+    docs[53], docs[54] = "before\none two three\n\nfour five six\nbehind", "word " * 30_000
+    frame = spark.createDataFrame([(i, x, 7, 7) for i, x in docs.items()] + [(None, None, 7, 7)], "doc_id long, text string, words int, run int")
+    got = linededup.deduplicated(frame, run, long_words=6)
+    assert got.columns == [*frame.columns, "n_lines", "n_removed"]
+    assert {r.doc_id: r.text for r in got.filter("doc_id IS NOT NULL").collect()} == plain_lines(docs, run, 6)
+    assert linededup.deduplicated(frame.filter("false"), run, long_words=6).count() == 0
+
+
+def test_pipeline_drops_a_repeated_passage_on_one_line(spark):
+    passage = " ".join(f"w{k}" for k in range(linededup.LONG_WORDS))
+    short = " ".join(f"v{k}" for k in range(linededup.LONG_WORDS - 1))
+    docs = spark.createDataFrame([(i, f"head {i}\n{passage}\nmid {i}\n{short}\nend {i}", 0) for i in (1, 2, 3)], "doc_id long, text string, n_chars int")
+    got = {r.doc_id: r for r in linededup.cleaned(docs).collect()}
+    assert got[1].text.count("\n") == 4 and all(got[i].text == f"head {i}\nmid {i}\n{short}\nend {i}" and got[i].n_chars == len(got[i].text) for i in (2, 3))
+
+
 def test_selected_lines_alone_are_joined(spark):
     """A document's positions are fewer than its lines, and two equal runs of run lines have one at the same place."""
     lines = [f"l{k}" for k in range(300)]
