@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 
 import __spark_entry__ as entry
@@ -191,6 +192,44 @@ def test_every_partner_counts(spark):
     assert got[61] >= 1 and all(got[i] == 0 for i in range(41, 61) if i % 4)
 
 
+def test_every_near_copy_counts(spark):
+    """A form with one word of its own in each of 40 texts, which so share no 50 words; and one of them with a word more."""
+    rng = random.Random(16)
+    p, line = made(rng, 60), made(rng, 30)
+    rows = [made(rng, 30) + p[:30] + made(rng, 1) + p[31:] + made(rng, 30) for _ in range(40)]
+    rows.append(made(rng, 30) + p[:30] + made(rng, 2) + p[31:] + made(rng, 30))
+    rows += [made(rng, 40) + line + made(rng, 40) for _ in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(rows)], "doc_id long, text string")
+    for block in (1 << 14, 16):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(passages, "NEAR_BLOCK", block)
+            got = {r.doc_id: (r.class_id, r.n_links) for r in passages.document_passages(docs).collect()}
+        assert got == {i: (0, 40) if i <= 40 else (i, 0) for i in range(81)}
+
+
+def test_near_copies_around_a_place_against_all_pairs():
+    rng, shingles = random.Random(17), passages.Shingles()
+    base = made(rng, 130)
+    texts = []
+    for _ in range(60):
+        w = list(base)
+        for at in rng.sample(range(130), rng.randint(0, 8)):
+            w[at : at + rng.randint(0, 2)] = made(rng, rng.randint(0, 2))
+        texts.append(shingles(" ".join(w if rng.random() < 0.7 else w[:75] + made(rng, 60)).encode()))
+    spot = shingles(" ".join(base).encode())[60]
+    texts = [h for h in texts if spot in h]
+    at = [int(np.flatnonzero(h == spot)[0]) for h in texts]
+    n = passages.AROUND
+    around = np.zeros((len(texts), 2 * n + 1), np.uint32)
+    for row, h, c in zip(around, texts, at):
+        for k in range(max(0, c - n), min(len(h), c + n + 1)):
+            row[k - c + n] = (h[k] >> np.uint64(32)) | np.uint64(1)
+    got = set(passages.near_only(np.arange(len(texts)), around, [[] for _ in texts], 46))
+    cut = [(h[max(0, c - n) : c + n + 1], min(c, n)) for h, c in zip(texts, at)]
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if passages.common_passages(cut[i][0], cut[j][0], [(cut[i][1], cut[j][1])], 46)}
+    assert len(texts) > 40 and 100 < len(want) < len(texts) * (len(texts) - 1) / 2 and want <= got and len(got - want) <= 0.02 * len(want)
+
+
 def test_words_of_shingles_are_told_apart():
     rng, shingles = random.Random(14), passages.Shingles()
     texts = [b"", b" \x0b\t", b"a", b"A b\x0bc\x0cd\re\nF", "É é ß\x1cx".encode(), b"x" * 5000 + b" " + b"x" * 5001, " ".join(made(rng, 3000)).encode(), bytes(range(1, 256))]
