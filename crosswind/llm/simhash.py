@@ -111,6 +111,30 @@ def join_keys(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(found)
 
 
+def _segment_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """segment and n: how many of a task's fingerprints have each key of each segment, as k << 12 | key."""
+    total = np.zeros(len(SEGMENTS) << 12, np.int64)
+    for batch in slices(batches, 8192):
+        for k, keys in enumerate(_segment_keys(batch.column(0).to_numpy().view(np.uint64))):
+            total += np.bincount((k << 12) + keys[keys >= 0], minlength=len(total))
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["segment", "n"])
+
+
+def hot_segments(bits: DataFrame) -> np.ndarray:
+    """For each segment and key, whether more than BLOCK fingerprints have it: only pairs of such keys can be of as many."""
+    counts = bits.select("bits").mapInArrow(_segment_counts, "segment long, n long").groupBy("segment").agg(F.sum("n").alias("n"))
+    hot = np.zeros(len(SEGMENTS) << 12, bool)
+    hot[[r.segment for r in counts.filter(F.col("n") > BLOCK).collect()]] = True
+    return hot
+
+
+def both_hot(keys: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which join keys are of two segment keys that are hot."""
+    first, second = np.array([0, 0, 1])[keys >> 24], np.array([1, 2, 2])[keys >> 24]
+    return hot[first << 12 | keys >> 12 & 4095] & hot[second << 12 | keys & 4095]
+
+
 def spanning(bits: np.ndarray) -> list[tuple[int, int]]:
     """Edges, at most one for each fingerprint, that connect what links of MAX_ERRORS or fewer connect.
 
@@ -184,8 +208,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def links(bits: DataFrame) -> DataFrame:
     """Pairs (a, b) of different fingerprints that connect all that links of MAX_ERRORS or fewer bits connect.
 
-    bits: a column ``bits``, each value once. Keys of more than BLOCK fingerprints (counted first) are dealt to every two
-    of their blocks, so that no task holds more than two blocks.
+    bits: a column ``bits``, each value once. Keys of more than BLOCK fingerprints are dealt to every two of their blocks, so that
+    no task holds more than two blocks. Such keys are counted first, among those of two segment keys that each have as many.
     """
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +227,15 @@ def links(bits: DataFrame) -> DataFrame:
     keys = bits.repartition(max(1, -(-n // FAN_OUT)), "bits").mapInArrow(keyed, "key long, bits long")
     if n <= BLOCK:
         return link(keys, "key")
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
+    often = hot_segments(bits)
+    if not often.any():
+        return link(keys, "key")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(both_hot(batch.column(0).to_numpy(), often)))], ["key"])
+
+    sizes = keys.select("key").mapInArrow(counted, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
     large = checkpointed(sizes.withColumn("blocks", F.ceil(F.col("n") / BLOCK)))
     if large.isEmpty():
         return link(keys, "key")

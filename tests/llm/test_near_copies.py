@@ -108,6 +108,22 @@ def test_dense_sets_and_split_keys(spark, monkeypatch):
         assert sorted(map(sorted, groups.values())) == sorted(map(sorted, brute.values()))
 
 
+def test_keys_are_counted_only_where_both_segments_are_hot(spark, monkeypatch):
+    rng = random.Random(18)
+    base = rng.getrandbits(64)
+    found = sorted({base ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 2))) for _ in range(300)} | {rng.getrandbits(64) for _ in range(300)})
+    bits = np.array(found, np.uint64)
+    frame = spark.createDataFrame([(x,) for x in bits.view(np.int64).tolist()], "bits long").repartition(3)
+    monkeypatch.setattr(simhash, "BLOCK", 40)
+    hot = simhash.hot_segments(frame)
+    _, keys = simhash.join_keys(bits)
+    values, n = np.unique(keys, return_counts=True)
+    counted = simhash.both_hot(values, hot)
+    assert (n > 40).any() and counted[n > 40].all() and counted.sum() < 0.1 * len(values)
+    monkeypatch.setattr(simhash, "BLOCK", 550)
+    assert not simhash.hot_segments(frame).any()
+
+
 def test_components_of_chains_stars_and_nothing(spark):
     chain = [(k, k + 1) for k in range(1, 60)] + [(100, 101), (101, 101), (102, 100), (100, 102), (None, 3)]
     got = dict(components(spark.createDataFrame(chain, "a long, b long")).collect())
