@@ -72,30 +72,9 @@ def unflat(values: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(-1, keepdims=True))
-    x /= x.sum(-1, keepdims=True)
-    return x
-
-
-_MASK = np.where(np.arange(CONTEXT + STRIDE)[None, :] <= np.arange(STRIDE)[:, None] + CONTEXT, 0, -1e9).astype(np.float32)
-
-
-def _hidden(m: dict[str, np.ndarray], inputs: np.ndarray) -> tuple:
-    x = m["embed"][inputs] + m["place"]
-    xq = x[:, CONTEXT:]
-    q, k, v = xq @ (m["q"] / np.float32(np.sqrt(WIDTH))), x @ m["k"], x @ m["v"]
-    s = q @ k.transpose(0, 2, 1)
-    s += _MASK
-    s += np.where(inputs == NOTHING, np.float32(-1e9), np.float32(0))[:, None, :]
-    a = _softmax(s)
-    h = a @ v
-    u0 = xq + h @ m["o"]
-    z = np.maximum(u0 @ m["w1"] + m["b1"], 0)
-    return x, q, k, v, a, h, u0, z, u0 + z @ m["w2"]
-
-
-_SEEN = (_MASK == 0).astype(np.float32)
+_SEEN = (np.arange(CONTEXT + STRIDE)[None, :] <= np.arange(STRIDE)[:, None] + CONTEXT).astype(np.float32)
+#: Where the pairs of an id's row of embed stand.
+_PAIRS = np.arange((IDS + 2) * (WIDTH // 2)).reshape(-1, WIDTH // 2)
 
 
 def log_probs(m: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -152,66 +131,134 @@ def log_probs(m: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
 
 
 def gradients(m: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, last: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss of the scored ids, and its gradients."""
-    x, q, k, v, a, h, u0, z, u = _hidden(m, inputs)
-    flat_u, t, last = u.reshape(-1, WIDTH), targets.ravel(), last.ravel()
-    at = np.flatnonzero(t != NOTHING)
-    uu, t, last, n = flat_u[at], t[at], last[at], np.float32(max(1, len(at)))
-    g = {name: np.zeros(s, np.float32) for name, s in SHAPES.items()}
-    c = t // MEMBERS
-    p = _softmax(uu @ m["classes"].T + m["class_bias"])
-    loss = -np.log(p[np.arange(len(t)), c] + 1e-30).sum()
-    p[np.arange(len(t)), c] -= 1
-    g["classes"], g["class_bias"] = p.T @ uu / n, p.sum(0) / n
+    """Mean loss of the scored ids, and its gradients.
+
+    Softmaxes are those of ``log_probs``; their weights stay undivided, and what they are multiplied with is divided by their
+    sums instead. Of a weight's gradient the part that all of a softmax's share is one more column of that product.
+    """
+    x = np.take(m["embed"], inputs, axis=0)
+    x += m["place"]
+    root, flat_x = np.float32(np.sqrt(WIDTH)), x.reshape(-1, WIDTH)
+    xq = np.ascontiguousarray(x[:, CONTEXT:]).reshape(-1, WIDTH)
+    kv = np.concatenate([m["k"], m["v"]], axis=1)
+    both = (flat_x @ kv).reshape(*inputs.shape, 2 * WIDTH)
+    k = np.ascontiguousarray(both[..., :WIDTH])
+    v = np.empty((*inputs.shape, WIDTH + 1), np.float32)
+    v[..., :WIDTH] = both[..., WIDTH:]
+    v[..., WIDTH] = 1
+    if some := (nothing := inputs == NOTHING).any():
+        v[nothing] = 0
+    q = (xq @ (m["q"] / root)).reshape(-1, STRIDE, WIDTH)
+    a = q @ k.transpose(0, 2, 1)
+    np.minimum(a, 80, out=a)
+    np.exp(a, out=a)
+    a *= _SEEN
+    h = (a @ v).reshape(-1, WIDTH + 1)
+    sums = np.maximum(h[:, WIDTH:], np.float32(1e-30))
+    h = h[:, :WIDTH] / sums
+    u0 = xq + h @ m["o"]
+    z = u0 @ m["w1"]
+    z += m["b1"]
+    np.maximum(z, 0, out=z)
+    t, last = targets.ravel(), last.ravel()
+    c = (t // MEMBERS).astype(np.int16)  # radix sort
+    bounds = np.r_[0, np.cumsum(np.bincount(c, minlength=CLASSES + 1)[:CLASSES])].tolist()
+    at = np.argsort(c, kind="stable")[: bounds[-1]]  # by class, without NOTHING
+    t, last, c, n = t[at], last[at], c[at], np.float32(max(1, len(at)))
+    u = np.ones((len(at), WIDTH + 1), np.float32)  # the last column is for biases
+    u[:, :WIDTH] = (u0 + z @ m["w2"])[at]
+    rows, own = np.arange(len(t)), t % MEMBERS
+    g: dict[str, np.ndarray] = {}
+
+    def less(p: np.ndarray, hit: np.ndarray) -> float:
+        """p from logits to gradients of the loss, which is returned."""
+        np.minimum(p, 80, out=p)
+        chosen = p[rows, hit]
+        np.exp(p, out=p)
+        total = p @ np.ones(p.shape[1], np.float32)
+        p *= (1 / (total * n))[:, None]
+        p[rows, hit] -= 1 / n
+        return float(np.log(total).sum() - chosen.sum())
+
+    heads = np.concatenate([m["classes"], m["class_bias"][:, None]], axis=1)
+    p = u @ heads.T
+    loss = less(p, c)
+    grad = p.T @ u
+    g["classes"], g["class_bias"] = grad[:, :WIDTH], grad[:, WIDTH]
     du = p @ m["classes"]
-    for j in np.unique(c):
-        rows = np.flatnonzero(c == j)
-        p = _softmax(uu[rows] @ m["members"][j].T + m["member_bias"][j])
-        own = t[rows] % MEMBERS
-        loss -= np.log(p[np.arange(len(rows)), own] + 1e-30).sum()
-        p[np.arange(len(rows)), own] -= 1
-        g["members"][j], g["member_bias"][j] = p.T @ uu[rows] / n, p.sum(0) / n
-        du[rows] += p @ m["members"][j]
-    y = uu @ m["last"] + m["last_bias"][t]
-    dy = np.where(t == END, 0, 1 / (1 + np.exp(-np.clip(y, -30, 30))) - last).astype(np.float32)
-    loss += np.where(t == END, 0, np.logaddexp(0, np.where(last, -y, y))).sum()
-    g["last"] = dy @ uu / n
-    np.add.at(g["last_bias"], t, dy / n)
+    heads, p = np.concatenate([m["members"], m["member_bias"][:, :, None]], axis=2), np.empty((len(t), MEMBERS), np.float32)
+    members = [(j, slice(bounds[j], bounds[j + 1])) for j in range(CLASSES) if bounds[j + 1] > bounds[j]]
+    for j, part in members:
+        np.matmul(u[part], heads[j].T, out=p[part])
+    loss += less(p, own)
+    grad = np.zeros((CLASSES, MEMBERS, WIDTH + 1), np.float32)
+    for j, part in members:
+        np.matmul(p[part].T, u[part], out=grad[j])
+        du[part] += p[part] @ m["members"][j]
+    g["members"], g["member_bias"] = grad[..., :WIDTH], grad[..., WIDTH]
+    y = u[:, :WIDTH] @ m["last"] + m["last_bias"][t]
+    dy = np.where(t == END, 0, 1 / (1 + np.exp(-np.clip(y, -30, 30))) - last).astype(np.float32) / n
+    loss += float(np.where(t == END, 0, np.logaddexp(0, np.where(last, -y, y))).sum())
+    g["last"] = dy @ u[:, :WIDTH]
+    g["last_bias"] = np.bincount(t, dy, IDS).astype(np.float32)
     du += dy[:, None] * m["last"]
-    d = np.zeros_like(flat_u)
-    d[at] = du / n
-    d = d.reshape(u.shape)
-    two = lambda w: w.reshape(-1, w.shape[-1])
-    g["w2"] = two(z).T @ two(d)
-    dz = (d @ m["w2"].T) * (z > 0)
-    g["w1"], g["b1"] = two(u0).T @ two(dz), two(dz).sum(0)
+    d = np.zeros((targets.size, WIDTH), np.float32)
+    d[at] = du
+    g["w2"] = z.T @ d
+    dz = d @ m["w2"].T
+    dz *= z > 0
+    g["w1"], g["b1"] = u0.T @ dz, dz.sum(0)
     du0 = d + dz @ m["w1"].T
-    g["o"] = two(h).T @ two(du0)
-    dh = du0 @ m["o"].T
-    da, dv = dh @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dh
-    ds = a * (da - (da * a).sum(-1, keepdims=True))
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    root = np.float32(np.sqrt(WIDTH))
-    g["q"], g["k"], g["v"] = two(x[:, CONTEXT:]).T @ two(dq) / root, two(x).T @ two(dk), two(x).T @ two(dv)
-    dx = dk @ m["k"].T + dv @ m["v"].T
-    dx[:, CONTEXT:] += du0 + dq @ m["q"].T / root
+    g["o"] = h.T @ du0
+    dh = np.empty((len(du0), WIDTH + 1), np.float32)
+    np.matmul(du0, m["o"].T, out=dh[:, :WIDTH])
+    dh[:, WIDTH] = -np.einsum("ij,ij->i", dh[:, :WIDTH], h)
+    dh /= sums
+    dh = dh.reshape(-1, STRIDE, WIDTH + 1)
+    both[..., WIDTH:] = a.transpose(0, 2, 1) @ dh[..., :WIDTH]
+    if some:
+        both[nothing] = 0
+    a *= dh @ v.transpose(0, 2, 1)
+    dq = (a @ k).reshape(-1, WIDTH)
+    both[..., :WIDTH] = a.transpose(0, 2, 1) @ q
+    grad = both.reshape(-1, 2 * WIDTH)
+    g["q"], (g["k"], g["v"]) = xq.T @ dq / root, np.split(flat_x.T @ grad, 2, axis=1)
+    dx = (grad @ kv.T).reshape(x.shape)
+    dx[:, CONTEXT:] += (du0 + dq @ (m["q"].T / root)).reshape(-1, STRIDE, WIDTH)
     g["place"] = dx.sum(0)
-    np.add.at(g["embed"], inputs, dx)
-    return float(loss / n), g
+    pairs = np.zeros(_PAIRS.size, np.complex64)  # two numbers at a time
+    np.add.at(pairs, np.take(_PAIRS, inputs.ravel(), axis=0).ravel(), dx.reshape(-1).view(np.complex64))
+    g["embed"] = pairs.view(np.float32).reshape(-1, WIDTH)
+    return loss / float(n), g
 
 
 class Adam:
+    """Steps as of Adam; changes model, whose moments are held as one array each."""
+
     def __init__(self, model: dict[str, np.ndarray]):
         self.model, self.n = model, 0
-        self.first, self.second = ({k: np.zeros_like(v) for k, v in model.items()} for _ in range(2))
+        self.first, self.second = np.zeros((2, sum(x.size for x in model.values())), np.float32)
 
     def step(self, grads: dict[str, np.ndarray], rate: float) -> None:
         self.n += 1
-        for k, g in grads.items():
-            a, b = self.first[k], self.second[k]
-            a += (g - a) * np.float32(0.1)
-            b += (g * g - b) * np.float32(0.01)
-            self.model[k] -= np.float32(rate / (1 - 0.9**self.n)) * a / (np.sqrt(b / np.float32(1 - 0.99**self.n)) + np.float32(1e-6))
+        g, a, b = flat(grads), self.first, self.second
+        d = g - a
+        d *= np.float32(0.1)
+        a += d
+        g *= g
+        g -= b
+        g *= np.float32(0.01)
+        b += g
+        np.divide(b, np.float32(1 - 0.99**self.n), out=g)
+        np.sqrt(g, out=g)
+        g += np.float32(1e-6)
+        np.multiply(a, np.float32(rate / (1 - 0.9**self.n)), out=d)
+        d /= g
+        at = 0
+        for k in SHAPES:
+            own = self.model[k]
+            own -= d[at : at + own.size].reshape(own.shape)
+            at += own.size
 
 
 def train(model: dict[str, np.ndarray], windows: np.ndarray, rate: float, passes: int = 1, batch: int = 32, seed: int = 3) -> float:

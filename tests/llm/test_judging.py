@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -37,6 +38,24 @@ def test_gradients_and_scores_agree():
         assert grads[name][at] == pytest.approx((values[0] - values[1]) / 2e-2, rel=0.2, abs=2e-3)
 
 
+def test_a_step_of_learning_costs_little_more_than_its_scores():
+    rng = np.random.default_rng(4)
+    w = attention.windows_of(rng.integers(0, attention.IDS, 64 * attention.STRIDE), rng.integers(0, 2, 64 * attention.STRIDE))
+    m = attention.initial()
+    adam = attention.Adam(m)
+
+    def least(run):
+        took = []
+        for _ in range(60):
+            began = time.perf_counter()
+            run()
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    forward = least(lambda: attention.log_probs(m, *attention.parts(w)))
+    assert least(lambda: adam.step(attention.gradients(m, *attention.parts(w))[1], 1e-3)) < 3 * forward
+
+
 def test_windows_score_each_id_once_and_causally():
     ids = np.arange(45) % attention.IDS
     w = attention.windows_of(ids, np.ones(45, int))
