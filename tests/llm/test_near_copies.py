@@ -246,6 +246,30 @@ def test_near_copies_around_a_place_against_all_pairs():
     assert len(texts) > 40 and 100 < len(want) < len(texts) * (len(texts) - 1) / 2 and want <= got and len(got - want) <= 0.02 * len(want)
 
 
+def test_only_what_can_hold_a_passage_is_aligned(monkeypatch):
+    """Forms with 3 words of their own in each 46 shingles, and a word more behind the middle; and two with one such word."""
+    rng, shingles, tried = random.Random(18), passages.Shingles(), []
+    base = made(rng, 119)
+    texts = [list(base) for _ in range(40)]
+    for k, w in enumerate(texts):
+        for at in range(2, 119, 14) if k > 1 else ():
+            w[at] = made(rng, 1)[0]
+        w[70:70] = made(rng, k % 3)
+    middle = base[57:62]
+    n, rows, whole = passages.AROUND, [], []
+    for w in texts:
+        w[57:62] = middle
+        h = shingles(" ".join(w).encode())
+        whole.append(h)
+        rows.append(np.r_[(h[:115] >> np.uint64(32)).astype(np.uint32) | np.uint32(1), np.zeros(2 * n + 1, np.uint32)][: 2 * n + 1])
+    run = passages._passages
+    monkeypatch.setattr(passages, "_passages", lambda *x: tried.append(1) or run(*x))
+    got = passages.near_only(np.arange(40), np.stack(rows), [[]] * 40, 46)
+    assert got == [(0, 1)] and len(tried) < 40
+    tried.clear()
+    assert all(not passages.common_passages(whole[2], whole[k], [(57, 57)], 46) for k in range(3, 40)) and not tried
+
+
 def test_words_of_shingles_are_told_apart():
     rng, shingles = random.Random(14), passages.Shingles()
     texts = [b"", b" \x0b\t", b"a", b"A b\x0bc\x0cd\re\nF", "É é ß\x1cx".encode(), b"x" * 5000 + b" " + b"x" * 5001, " ".join(made(rng, 3000)).encode(), bytes(range(1, 256))]
