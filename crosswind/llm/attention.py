@@ -72,6 +72,17 @@ def unflat(values: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
+def keep_memory() -> None:
+    """Has the process keep what arrays of a batch free, rather than give it back and get it anew, page by page, for the next: glibc's
+    allocator keeps blocks of the size of the largest one that was freed, and twice as much of its heap."""
+    np.empty(8 << 20, np.uint8)
+
+
+def held(x: np.ndarray) -> np.ndarray:
+    """x, changed to be 80 at most; looking for more takes a fraction of the time of a minimum."""
+    return np.minimum(x, 80, out=x) if x.max(initial=0) > 80 else x
+
+
 _SEEN = (np.arange(CONTEXT + STRIDE)[None, :] <= np.arange(STRIDE)[:, None] + CONTEXT).astype(np.float32)
 #: Where the pairs of an id's row of embed stand.
 _PAIRS = np.arange((IDS + 2) * (WIDTH // 2)).reshape(-1, WIDTH // 2)
@@ -95,8 +106,7 @@ def log_probs(m: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
         v[nothing] = 0
     q = (np.ascontiguousarray(xq).reshape(-1, WIDTH) @ (m["q"] / np.float32(np.sqrt(WIDTH)))).reshape(xq.shape)
     a = q @ k.transpose(0, 2, 1)
-    np.minimum(a, 80, out=a)
-    np.exp(a, out=a)
+    np.exp(held(a), out=a)
     a *= _SEEN
     h = (a @ v).reshape(-1, WIDTH + 1)
     u = xq.reshape(-1, WIDTH) + (h[:, :WIDTH] / np.maximum(h[:, WIDTH:], np.float32(1e-30))) @ m["o"]
@@ -104,25 +114,22 @@ def log_probs(m: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
     c = (t // MEMBERS).astype(np.int16)  # radix sort
     bounds = np.r_[0, np.cumsum(np.bincount(c, minlength=CLASSES + 1)[:CLASSES])]
     at = np.argsort(c, kind="stable")[: bounds[-1]]  # by class, without NOTHING
-    u, t, last, c = u[at], t[at], last[at], c[at]
+    u, t, last, c = np.take(u, at, axis=0), t[at], last[at], c[at]
     z = u @ m["w1"]
     z += m["b1"]
     u += np.maximum(z, 0, out=z) @ m["w2"]
     logits = u @ m["classes"].T
     logits += m["class_bias"]
-    np.minimum(logits, 80, out=logits)
-    got = logits[np.arange(len(t)), c]
+    got = held(logits)[np.arange(len(t)), c]
     got -= np.log(np.exp(logits, out=logits) @ np.ones(CLASSES, np.float32))
-    sums, ones = np.empty(len(t), np.float32), np.ones(MEMBERS, np.float32)
+    x = np.empty((len(t), MEMBERS), np.float32)
     for j in range(CLASSES):
         rows = slice(bounds[j], bounds[j + 1])
         if bounds[j + 1] > bounds[j]:
-            x = u[rows] @ m["members"][j].T
-            x += m["member_bias"][j]
-            np.minimum(x, 80, out=x)
-            got[rows] += x[np.arange(len(x)), t[rows] % MEMBERS]
-            sums[rows] = np.exp(x, out=x) @ ones
-    got -= np.log(sums)
+            np.matmul(u[rows], m["members"][j].T, out=x[rows])
+            x[rows] += m["member_bias"][j]
+    got += held(x).ravel()[np.arange(len(t)) * MEMBERS + t % MEMBERS]
+    got -= np.log(np.exp(x, out=x) @ np.ones(MEMBERS, np.float32))
     y = u @ m["last"] + m["last_bias"][t]
     got -= np.where(t == END, 0, np.logaddexp(0, np.where(last, -y, y)))
     out = np.zeros(targets.size, np.float32)
@@ -150,8 +157,7 @@ def gradients(m: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
         v[nothing] = 0
     q = (xq @ (m["q"] / root)).reshape(-1, STRIDE, WIDTH)
     a = q @ k.transpose(0, 2, 1)
-    np.minimum(a, 80, out=a)
-    np.exp(a, out=a)
+    np.exp(held(a), out=a)
     a *= _SEEN
     h = (a @ v).reshape(-1, WIDTH + 1)
     sums = np.maximum(h[:, WIDTH:], np.float32(1e-30))
@@ -166,18 +172,18 @@ def gradients(m: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
     at = np.argsort(c, kind="stable")[: bounds[-1]]  # by class, without NOTHING
     t, last, c, n = t[at], last[at], c[at], np.float32(max(1, len(at)))
     u = np.ones((len(at), WIDTH + 1), np.float32)  # the last column is for biases
-    u[:, :WIDTH] = (u0 + z @ m["w2"])[at]
+    u[:, :WIDTH] = np.take(u0 + z @ m["w2"], at, axis=0)
     rows, own = np.arange(len(t)), t % MEMBERS
     g: dict[str, np.ndarray] = {}
 
     def less(p: np.ndarray, hit: np.ndarray) -> float:
         """p from logits to gradients of the loss, which is returned."""
-        np.minimum(p, 80, out=p)
-        chosen = p[rows, hit]
+        at = rows * p.shape[1] + hit
+        chosen = held(p).ravel()[at]
         np.exp(p, out=p)
         total = p @ np.ones(p.shape[1], np.float32)
         p *= (1 / (total * n))[:, None]
-        p[rows, hit] -= 1 / n
+        p.ravel()[at] -= 1 / n
         return float(np.log(total).sum() - chosen.sum())
 
     heads = np.concatenate([m["classes"], m["class_bias"][:, None]], axis=1)
@@ -263,6 +269,7 @@ class Adam:
 
 def train(model: dict[str, np.ndarray], windows: np.ndarray, rate: float, passes: int = 1, batch: int = 32, seed: int = 3) -> float:
     """Adam over windows of (inputs, targets, last) side by side; changes model and gives the mean loss of the last pass."""
+    keep_memory()
     adam, rng, loss = Adam(model), np.random.default_rng(seed), 0.0
     steps, done = passes * -(-len(windows) // batch), 0
     for _ in range(passes):

@@ -50,6 +50,26 @@ class _Places(dict):
         return number
 
 
+class _Spelt:
+    """The ids of numbered words, each distinct one looked up once."""
+
+    def __init__(self, place: _Places, path: str):
+        distinct = list(place)[1:]
+        parts = [net.word_ids(path, distinct[k : k + 20_000]) for k in range(0, len(distinct), 20_000)]
+        self.ids = np.concatenate([np.array([net.END], np.int32), *(x for x, _ in parts)])
+        self.sizes = np.concatenate([np.array([1]), *(x for _, x in parts)])
+        self.begins = np.r_[0, np.cumsum(self.sizes)[:-1]]
+        self.last = np.zeros(len(self.ids), np.int32)
+        self.last[self.begins + self.sizes - 1] = 1
+
+    def __call__(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids of words one after the other, which of them end a word, and where each word starts."""
+        own = self.sizes[word]
+        starts = np.cumsum(own) - own
+        take = np.repeat(self.begins[word] - starts, own) + np.arange(own.sum())
+        return self.ids[take], self.last[take], starts
+
+
 def block_words(dealt: DataFrame) -> DataFrame:
     """block, word and n: the words of each block, ends as TEXT_END, and how often training documents of it have them, counted
     per task first. dealt: block, train and text."""
@@ -131,6 +151,7 @@ def learnt(docs: DataFrame, start: np.ndarray, path: str) -> DataFrame:
     """numbers and seen for each partition of the training documents: the model after all windows of all its texts, and how many these are."""
 
     def run(batches):
+        net.keep_memory()
         own, seen, rng = net.unflat(start.copy()), 0, np.random.default_rng(5)
         adam = net.Adam(own)
         held, n = [], 0
@@ -142,11 +163,11 @@ def learnt(docs: DataFrame, start: np.ndarray, path: str) -> DataFrame:
                 adam.step(net.gradients(own, *net.parts(w[k : k + RATE_BATCH]))[1], RATE)
 
         for batch in slices(batches, 256):
-            for text in text_bytes(batch.column(0)):
-                ids, sizes = net.word_ids(path, lower_words(text))
-                last = np.zeros(len(ids), np.int32)
-                last[np.cumsum(sizes) - 1] = 1
-                held.append(net.windows_of(np.append(ids, np.int32(net.END)), np.append(last, np.int32(1))))
+            place = _Places({TEXT_END: 0})
+            words = [np.fromiter(map(place.__getitem__, own_words), np.int64, len(own_words)) for own_words in ([*lower_words(text), TEXT_END] for text in text_bytes(batch.column(0)))]
+            spelt = _Spelt(place, path)
+            for word in words:
+                held.append(net.windows_of(*spelt(word)[:2]))
                 n += len(held[-1])
                 if n >= SHUFFLED:
                     step(held)
@@ -190,13 +211,7 @@ class _Scorer:
             parts.append(np.fromiter(map(place.__getitem__, own), np.int64, len(own)))
             lengths.append(len(own))
         word = np.concatenate(parts)
-        distinct = list(place)[1:]
-        parts = [net.word_ids(self.path, distinct[k : k + 20_000]) for k in range(0, len(distinct), 20_000)]
-        every = np.concatenate([np.array([net.END], np.int32), *(x for x, _ in parts)])
-        sizes = np.concatenate([np.array([1]), *(x for _, x in parts)])
-        begins = np.r_[0, np.cumsum(sizes)[:-1]]
-        last = np.zeros(len(every), np.int32)
-        last[begins + sizes - 1] = 1
+        spelt = _Spelt(place, self.path)
         c = np.array([counts.get(w, 0) for w in place], np.float64)
         base = np.log10(c + 1) - (np.log10(self.n + 1.0 * (self.v + 1)))
         share = np.log(SHARE) + np.log(np.maximum(c, 1e-300) / max(1, self.n))
@@ -208,18 +223,15 @@ class _Scorer:
             upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 40_000, side="right")))
             first = int(ends[at - 1]) if at else 0
             part = word[first : int(ends[upto - 1])]
-            scores = np.logaddexp(np.log1p(-SHARE) + self._attention(part, lengths[at:upto], sizes, begins, every, last), share[part])
+            scores = np.logaddexp(np.log1p(-SHARE) + self._attention(part, lengths[at:upto], spelt), share[part])
             bounds = np.r_[0, np.cumsum(lengths[at:upto])[:-1]]
             out.append((np.array(lengths[at:upto]), np.add.reduceat((c[part] > 0).astype(np.int64), bounds), np.add.reduceat(base[part], bounds), np.add.reduceat(scores, bounds) / log(10)))
             at = upto
         return [np.concatenate(x) for x in zip(*out)]
 
-    def _attention(self, part, lengths, sizes, begins, every, last) -> np.ndarray:
+    def _attention(self, part, lengths, spelt) -> np.ndarray:
         """Natural log probability of each of the words in part; a very long text is taken as a whole, in windows."""
-        own = sizes[part]
-        starts = np.r_[0, np.cumsum(own)[:-1]]
-        take = np.repeat(begins[part] - starts, own) + np.arange(own.sum())
-        ids, ends = every[take], last[take]
+        ids, ends, starts = spelt(part)
         doc_starts = np.r_[starts[np.r_[0, np.cumsum(lengths)[:-1]]], len(ids)]
         windows = np.concatenate([net.windows_of(ids[a:b], ends[a:b]) for a, b in zip(doc_starts[:-1], doc_starts[1:])])
         got = np.concatenate([net.log_probs(self.model, *net.parts(windows[k : k + BATCH])) for k in range(0, len(windows), BATCH)])
@@ -250,6 +262,7 @@ def scored(docs: DataFrame, path: str | None = None) -> DataFrame:
     rows = rows.repartitionById(blocks, F.col("block").cast("int")).sortWithinPartitions("block", "kind")
 
     def score(batches):
+        net.keep_memory()
         scorer, counts, kept, texts, size = _Scorer(numbers, path, n, v), {}, [], [], 0
 
         def scored():

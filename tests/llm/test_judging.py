@@ -3,9 +3,12 @@
 import hashlib
 import math
 import re
+import subprocess
+import sys
 import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -56,6 +59,42 @@ def test_a_step_of_learning_costs_little_more_than_its_scores():
     assert least(lambda: adam.step(attention.gradients(m, *attention.parts(w))[1], 1e-3)) < 3 * forward
 
 
+def test_batches_use_the_memory_of_the_batch_before():
+    rng = np.random.default_rng(6)
+    w = attention.windows_of(rng.integers(0, attention.IDS, 192 * attention.STRIDE), rng.integers(0, 2, 192 * attention.STRIDE))
+    code = """
+import resource, sys, numpy as np
+from crosswind.llm import attention
+w = np.frombuffer(sys.stdin.buffer.read(), np.int64).reshape(192, -1)
+m, own = attention.initial(), attention.parts(w)
+attention.train(m, w[:64], 1e-3, 1, 64)
+for run in (lambda: attention.gradients(m, *attention.parts(w[:64])), lambda: attention.log_probs(m, *own)):
+    [run() for _ in range(5)]
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    [run() for _ in range(20)]
+    print(resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before)
+"""
+    got = subprocess.run([sys.executable, "-c", code], input=w.astype(np.int64).tobytes(), capture_output=True, check=True, cwd=Path(entry.__file__).parent)
+    assert all(int(x) < 20 * 100 for x in got.stdout.split())  # pages got anew: over 1,000 a batch where memory is given back
+
+
+def test_held_numbers():
+    for x in ([], [3, 79.5], [-1e9, 80, 81, 1e9]):
+        assert attention.held(np.array(x, np.float32)).tolist() == [min(y, 80) for y in x]
+
+
+def test_spelt_words_are_those_of_the_text():
+    path, words = attention.vocabulary_path(), [b"the", b"cat", b"the", "größe".encode(), b"cat"]
+    place = scoring._Places({scoring.TEXT_END: 0})
+    ids, last, starts = scoring._Spelt(place, path)(np.array([], np.int64))
+    assert not len(ids) and not len(starts)
+    numbers = np.array([place[x] for x in [*words, scoring.TEXT_END]])
+    ids, last, starts = scoring._Spelt(place, path)(numbers)
+    want, sizes = attention.word_ids(path, words)
+    assert ids.tolist() == [*want.tolist(), attention.END]
+    assert starts.tolist() == [0, *np.cumsum(sizes).tolist()] and np.flatnonzero(last).tolist() == [*(np.cumsum(sizes) - 1).tolist(), len(want)]
+
+
 def test_windows_score_each_id_once_and_causally():
     ids = np.arange(45) % attention.IDS
     w = attention.windows_of(ids, np.ones(45, int))
