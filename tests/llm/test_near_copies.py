@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -306,3 +307,30 @@ def test_recall_of_near_copies_and_one_row_an_id(spark):
     assert sorted((r.doc_id for r in out), key=str) == [1, 2, 3, 4, 5, None]
     classes = {r.doc_id: r.class_id for r in out}
     assert classes[1] == classes[2] == 1 and classes[3] == classes[4] == 3 and classes[5] == 5 and classes[None] is None
+
+
+def test_files_of_earlier_steps_are_gone_when_texts_are_compared(spark, monkeypatch):
+    import time
+
+    rng = random.Random(21)
+    part = [f"p{rng.randrange(9**9)}" for _ in range(80)]
+    docs = spark.createDataFrame([(i, " ".join([f"w{rng.randrange(9**9)}" for _ in range(60)] + part * (i % 2))) for i in range(40)], "doc_id long, text string")
+    save, left = passages.checkpointed, []
+
+    def counted(df):
+        if "from_a" in df.columns:
+            until = time.time() + 10
+            while (n := spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()) and time.time() < until:
+                time.sleep(0.1)
+            left.append(n)
+        return save(df)
+
+    monkeypatch.setattr(passages, "checkpointed", counted)
+    found, *_ = passages.near_passages(docs)
+    assert found.count() and left[0] <= 3  # dozens otherwise
+
+
+def test_packed_texts(spark):
+    texts = ["", "größe " * 100, "the cat"]
+    got = {r.id: bytes(r.text) for r in passages.packed(spark.createDataFrame([(7, i, x) for i, x in enumerate(texts)], "h long, id long, text string")).collect()}
+    assert [*passages.unpacked(pa.array([got[i] for i in range(3)], pa.binary()))] == [x.encode() for x in texts] and len(got[1]) < 100
