@@ -88,50 +88,56 @@ _SEEN = (np.arange(CONTEXT + STRIDE)[None, :] <= np.arange(STRIDE)[:, None] + CO
 _PAIRS = np.arange((IDS + 2) * (WIDTH // 2)).reshape(-1, WIDTH // 2)
 
 
+def _embedded(m: dict[str, np.ndarray], inputs: np.ndarray) -> np.ndarray:
+    """Embeddings and places of the inputs with a column of ones beside, which sums what they are multiplied with; zeros for NOTHING."""
+    rows = np.ones((IDS + 2, WIDTH + 1), np.float32)
+    rows[:, :WIDTH] = m["embed"]
+    places = np.zeros((CONTEXT + STRIDE, WIDTH + 1), np.float32)
+    places[:, :WIDTH] = m["place"]
+    x = np.take(rows, inputs, axis=0)
+    x += places
+    return x
+
+
 def log_probs(m: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Natural log probabilities (windows, STRIDE); 0 where the target is NOTHING. inputs: (windows, CONTEXT + STRIDE).
 
     As the softmaxes of ``gradients``, with fewer passes over the arrays: scores are held below 80 rather than shifted by
-    their maximum, and a column of ones beside the values sums the weights.
+    their maximum, and a column of ones beside the inputs sums the weights. A query meets a key through the product of their
+    two matrices, and values leave through that of theirs, so inputs themselves are weighted and none is projected.
     """
-    x = np.take(m["embed"], inputs, axis=0)
-    x += m["place"]
-    xq = x[:, CONTEXT:]
-    both = (x.reshape(-1, WIDTH) @ np.concatenate([m["k"], m["v"]], axis=1)).reshape(*inputs.shape, 2 * WIDTH)
-    k = both[..., :WIDTH]
-    v = np.empty((*inputs.shape, WIDTH + 1), np.float32)
-    v[..., :WIDTH] = both[..., WIDTH:]
-    v[..., WIDTH] = 1
+    x = _embedded(m, inputs)
     if (nothing := inputs == NOTHING).any():
-        v[nothing] = 0
-    q = (np.ascontiguousarray(xq).reshape(-1, WIDTH) @ (m["q"] / np.float32(np.sqrt(WIDTH)))).reshape(xq.shape)
-    a = q @ k.transpose(0, 2, 1)
+        x[nothing] = 0
+    xq = np.ascontiguousarray(x[:, CONTEXT:, :WIDTH]).reshape(-1, WIDTH)
+    q = (xq @ (m["q"] @ m["k"].T / np.float32(np.sqrt(WIDTH)))).reshape(-1, STRIDE, WIDTH)
+    a = q @ x[..., :WIDTH].transpose(0, 2, 1)
     np.exp(held(a), out=a)
     a *= _SEEN
-    h = (a @ v).reshape(-1, WIDTH + 1)
-    u = xq.reshape(-1, WIDTH) + (h[:, :WIDTH] / np.maximum(h[:, WIDTH:], np.float32(1e-30))) @ m["o"]
+    h = (a @ x).reshape(-1, WIDTH + 1)
+    u = xq + (h[:, :WIDTH] / np.maximum(h[:, WIDTH:], np.float32(1e-30))) @ (m["v"] @ m["o"])
     t, last = targets.ravel(), last.ravel()
     c = (t // MEMBERS).astype(np.int16)  # radix sort
     bounds = np.r_[0, np.cumsum(np.bincount(c, minlength=CLASSES + 1)[:CLASSES])]
     at = np.argsort(c, kind="stable")[: bounds[-1]]  # by class, without NOTHING
-    u, t, last, c = np.take(u, at, axis=0), t[at], last[at], c[at]
+    t, last, c = t[at], last[at], c[at]
     z = u @ m["w1"]
     z += m["b1"]
     u += np.maximum(z, 0, out=z) @ m["w2"]
-    logits = u @ m["classes"].T
-    logits += m["class_bias"]
+    u1 = np.ones((len(at), WIDTH + 1), np.float32)  # the last column is for biases
+    u1[:, :WIDTH] = np.take(u, at, axis=0)
+    logits = u1 @ np.concatenate([m["classes"], m["class_bias"][:, None]], axis=1).T
     got = held(logits)[np.arange(len(t)), c]
     got -= np.log(np.exp(logits, out=logits) @ np.ones(CLASSES, np.float32))
-    x = np.empty((len(t), MEMBERS), np.float32)
+    x, heads = np.empty((len(t), MEMBERS), np.float32), np.concatenate([m["members"], m["member_bias"][:, :, None]], axis=2)
     for j in range(CLASSES):
         rows = slice(bounds[j], bounds[j + 1])
         if bounds[j + 1] > bounds[j]:
-            np.matmul(u[rows], m["members"][j].T, out=x[rows])
-            x[rows] += m["member_bias"][j]
+            np.matmul(u1[rows], heads[j].T, out=x[rows])
     got += held(x).ravel()[np.arange(len(t)) * MEMBERS + t % MEMBERS]
     got -= np.log(np.exp(x, out=x) @ np.ones(MEMBERS, np.float32))
-    y = u @ m["last"] + m["last_bias"][t]
-    got -= np.where(t == END, 0, np.logaddexp(0, np.where(last, -y, y)))
+    y = u1 @ np.append(m["last"], np.float32(0)) + m["last_bias"][t]
+    got -= np.where(t == END, 0, _softplus(np.where(last, -y, y)))
     out = np.zeros(targets.size, np.float32)
     out[at] = got
     return out.reshape(targets.shape)
@@ -143,26 +149,22 @@ def gradients(m: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
     Softmaxes are those of ``log_probs``; their weights stay undivided, and what they are multiplied with is divided by their
     sums instead. Of a weight's gradient the part that all of a softmax's share is one more column of that product.
     """
-    x = np.take(m["embed"], inputs, axis=0)
-    x += m["place"]
-    root, flat_x = np.float32(np.sqrt(WIDTH)), x.reshape(-1, WIDTH)
-    xq = np.ascontiguousarray(x[:, CONTEXT:]).reshape(-1, WIDTH)
-    kv = np.concatenate([m["k"], m["v"]], axis=1)
-    both = (flat_x @ kv).reshape(*inputs.shape, 2 * WIDTH)
-    k = np.ascontiguousarray(both[..., :WIDTH])
-    v = np.empty((*inputs.shape, WIDTH + 1), np.float32)
-    v[..., :WIDTH] = both[..., WIDTH:]
-    v[..., WIDTH] = 1
+    x = _embedded(m, inputs)
     if some := (nothing := inputs == NOTHING).any():
-        v[nothing] = 0
-    q = (xq @ (m["q"] / root)).reshape(-1, STRIDE, WIDTH)
-    a = q @ k.transpose(0, 2, 1)
+        x[nothing] = 0
+    root, x_only = np.float32(np.sqrt(WIDTH)), x[..., :WIDTH]
+    xq = np.ascontiguousarray(x[:, CONTEXT:, :WIDTH]).reshape(-1, WIDTH)
+    qk, vo = m["q"] @ m["k"].T / root, m["v"] @ m["o"]
+    q = (xq @ qk).reshape(-1, STRIDE, WIDTH)
+    both = np.empty((len(x), 2 * STRIDE, CONTEXT + STRIDE), np.float32)  # weights, then their gradients before the exponential
+    a, da = both[:, :STRIDE], both[:, STRIDE:]
+    np.matmul(q, x_only.transpose(0, 2, 1), out=a)
     np.exp(held(a), out=a)
     a *= _SEEN
-    h = (a @ v).reshape(-1, WIDTH + 1)
+    h = (a @ x).reshape(-1, WIDTH + 1)
     sums = np.maximum(h[:, WIDTH:], np.float32(1e-30))
     h = h[:, :WIDTH] / sums
-    u0 = xq + h @ m["o"]
+    u0 = xq + h @ vo
     z = u0 @ m["w1"]
     z += m["b1"]
     np.maximum(z, 0, out=z)
@@ -204,7 +206,7 @@ def gradients(m: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
     g["members"], g["member_bias"] = grad[..., :WIDTH], grad[..., WIDTH]
     y = u[:, :WIDTH] @ m["last"] + m["last_bias"][t]
     dy = np.where(t == END, 0, 1 / (1 + np.exp(-np.clip(y, -30, 30))) - last).astype(np.float32) / n
-    loss += float(np.where(t == END, 0, np.logaddexp(0, np.where(last, -y, y))).sum())
+    loss += float(np.where(t == END, 0, _softplus(np.where(last, -y, y))).sum())
     g["last"] = dy @ u[:, :WIDTH]
     g["last_bias"] = np.bincount(t, dy, IDS).astype(np.float32)
     du += dy[:, None] * m["last"]
@@ -215,22 +217,22 @@ def gradients(m: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
     dz *= z > 0
     g["w1"], g["b1"] = u0.T @ dz, dz.sum(0)
     du0 = d + dz @ m["w1"].T
-    g["o"] = h.T @ du0
+    grad = h.T @ du0
+    g["v"], g["o"] = grad @ m["o"].T, m["v"].T @ grad
     dh = np.empty((len(du0), WIDTH + 1), np.float32)
-    np.matmul(du0, m["o"].T, out=dh[:, :WIDTH])
+    np.matmul(du0, vo.T, out=dh[:, :WIDTH])
     dh[:, WIDTH] = -np.einsum("ij,ij->i", dh[:, :WIDTH], h)
     dh /= sums
     dh = dh.reshape(-1, STRIDE, WIDTH + 1)
-    both[..., WIDTH:] = a.transpose(0, 2, 1) @ dh[..., :WIDTH]
+    np.matmul(dh, x.transpose(0, 2, 1), out=da)
+    da *= a
+    dq = (da @ x_only).reshape(-1, WIDTH)
+    dx = both.transpose(0, 2, 1) @ np.concatenate([dh[..., :WIDTH], q], axis=1)
     if some:
-        both[nothing] = 0
-    a *= dh @ v.transpose(0, 2, 1)
-    dq = (a @ k).reshape(-1, WIDTH)
-    both[..., :WIDTH] = a.transpose(0, 2, 1) @ q
-    grad = both.reshape(-1, 2 * WIDTH)
-    g["q"], (g["k"], g["v"]) = xq.T @ dq / root, np.split(flat_x.T @ grad, 2, axis=1)
-    dx = (grad @ kv.T).reshape(x.shape)
-    dx[:, CONTEXT:] += (du0 + dq @ (m["q"].T / root)).reshape(-1, STRIDE, WIDTH)
+        dx[nothing] = 0
+    grad = xq.T @ dq / root
+    g["q"], g["k"] = grad @ m["k"], grad.T @ m["q"]
+    dx[:, CONTEXT:] += (du0 + dq @ qk.T).reshape(-1, STRIDE, WIDTH)
     g["place"] = dx.sum(0)
     pairs = np.zeros(_PAIRS.size, np.complex64)  # two numbers at a time
     np.add.at(pairs, np.take(_PAIRS, inputs.ravel(), axis=0).ravel(), dx.reshape(-1).view(np.complex64))
@@ -283,6 +285,11 @@ def train(model: dict[str, np.ndarray], windows: np.ndarray, rate: float, passes
     return loss
 
 
+def _softplus(x: np.ndarray) -> np.ndarray:
+    """log(1 + exp(x)) for 32-bit numbers, in array operations that are quick for these."""
+    return np.maximum(x, 0) + np.log(1 + np.exp(-np.abs(x)))
+
+
 def parts(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return windows[:, : CONTEXT + STRIDE], windows[:, CONTEXT + STRIDE : CONTEXT + 2 * STRIDE], windows[:, CONTEXT + 2 * STRIDE :]
 
@@ -297,3 +304,25 @@ def windows_of(ids: np.ndarray, last: np.ndarray, begins: bool = True) -> np.nda
     targets[: len(ids)], ends[: len(ids)] = ids, last
     seen = np.lib.stride_tricks.sliding_window_view(inputs, CONTEXT + STRIDE)[::STRIDE]
     return np.concatenate([seen, targets.reshape(n, STRIDE), ends.reshape(n, STRIDE)], axis=1)
+
+
+def windows_of_all(ids: np.ndarray, last: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of many texts at once, as ``windows_of`` gives them for each, and how many each has. A text's ids stand from one
+    of bounds to the next; none is without."""
+    sizes = np.diff(bounds)
+    n = -(-sizes // STRIDE)
+    places = np.arange(len(ids)) - np.repeat(bounds[:-1], sizes)
+    begins = np.cumsum(CONTEXT + n * STRIDE) - n * STRIDE  # where a text's inputs begin, behind a context of nothing
+    inputs = np.full(CONTEXT * len(n) + STRIDE * n.sum(), NOTHING, np.int32)
+    at = np.repeat(begins + 1, sizes) + places
+    inputs[np.delete(at, bounds[1:] - 1)] = np.delete(ids, bounds[1:] - 1)
+    inputs[begins] = BEGIN
+    firsts = np.cumsum(n) - n
+    out = np.empty((n.sum(), CONTEXT + 3 * STRIDE), np.int32)
+    seen = np.lib.stride_tricks.sliding_window_view(inputs, CONTEXT + STRIDE)
+    out[:, : CONTEXT + STRIDE] = seen[np.repeat(begins - CONTEXT - firsts * STRIDE, n) + np.arange(len(out)) * STRIDE]
+    targets, ends = np.full(len(out) * STRIDE, NOTHING, np.int32), np.zeros(len(out) * STRIDE, np.int32)
+    at = np.repeat(firsts * STRIDE, sizes) + places
+    targets[at], ends[at] = ids, last
+    out[:, CONTEXT + STRIDE : CONTEXT + 2 * STRIDE], out[:, CONTEXT + 2 * STRIDE :] = targets.reshape(-1, STRIDE), ends.reshape(-1, STRIDE)
+    return out, n

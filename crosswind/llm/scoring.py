@@ -6,22 +6,24 @@ the word, the last marked as such) with its share of all training tokens, for wo
 
 Word counts cover every training document. The attention model starts from a fit on at most WARM_WINDOWS windows, on the
 driver, and then learns from every window of every training document, each partition on its own; partitions' models are
-averaged, weighted by their windows. Scoring deals documents, by a hash of id and text, into blocks of about BLOCK_BYTES, a
-partition each. A block's rows come as a stream: first the counts of its own words, then its texts.
+averaged, weighted by their windows. Documents are dealt, by a hash of id and text, into blocks of about BLOCK_BYTES, a partition
+each: first to count a block's words, each once, then to score it. Its rows then come as a stream: the counts of its own words,
+then its texts.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosswind.llm import attention as net
-from crosswind.llm.common import checkpointed, lower_words, slices, spread_join, text_bytes, written
+from crosswind.llm.common import lower_words, released, slices, text_bytes, written
 
 SHARE = 0.4
 WARM_WINDOWS, WARM_PASSES, WARM_RATE, WARM_BATCH, RATE, RATE_BATCH = 49_152, 2, 1e-2, 128, 1e-3, 64
@@ -69,6 +71,21 @@ class _Spelt:
         take = np.repeat(self.begins[word] - starts, own) + np.arange(own.sum())
         return self.ids[take], self.last[take], starts
 
+    def windows(self, word: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The windows of texts of so many words, which stand one after the other in word, and how many each text has."""
+        ids, last, starts = self(word)
+        return net.windows_of_all(ids, last, np.r_[starts[np.r_[0, np.cumsum(lengths)[:-1]]], len(ids)])
+
+
+def _together(lengths: list[int], words: int = 40_000) -> Iterator[tuple[int, int]]:
+    """First and end of runs of texts that have about so many words together; a longer text is by itself."""
+    ends = np.cumsum(lengths)
+    at = 0
+    while at < len(lengths):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + words, side="right")))
+        yield at, upto
+        at = upto
+
 
 def block_words(dealt: DataFrame) -> DataFrame:
     """block, word and n: the words of each block, ends as TEXT_END, and how often training documents of it have them, counted
@@ -92,11 +109,26 @@ def block_words(dealt: DataFrame) -> DataFrame:
 
     def counted(total):
         for block, own in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(own), pa.int64()), _strings(own), pa.array(list(own.values()), pa.int64())], ["block", "word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), block, np.int64)), _strings(own), pa.array(list(own.values()), pa.int64())], ["block", "word", "n"])
 
     return dealt.select("block", "train", "text").mapInArrow(run, "block long, word string, n long")
 
 
+def known_words(dealt: DataFrame, blocks: int) -> DataFrame:
+    """block, word, n, c and first: the words of each block that training documents have, n times in rows of this block and c times in
+    all; first tells one row of each word. A word has a row for each block, so none is in more rows than there are blocks.
+
+    A block's texts should stand together: its words are then counted to the end before they are shuffled."""
+    words = written(block_words(dealt))
+    released(dealt.sparkSession)
+    own = Window.partitionBy("word").orderBy("word")
+    parts = max(blocks, int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = words.repartition(parts, "word").withColumns({"c": F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "first": F.row_number().over(own) == 1})
+    known = written(found.filter("c > 0"))
+    released(dealt.sparkSession)
+    return known
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """word and c: how often training documents have each token, ends counted as TEXT_END."""
     rows = docs.select(F.lit(0).cast("long").alias("block"), _train().alias("train"), "text").filter("train")
@@ -166,12 +198,15 @@ def learnt(docs: DataFrame, start: np.ndarray, path: str) -> DataFrame:
             place = _Places({TEXT_END: 0})
             words = [np.fromiter(map(place.__getitem__, own_words), np.int64, len(own_words)) for own_words in ([*lower_words(text), TEXT_END] for text in text_bytes(batch.column(0)))]
             spelt = _Spelt(place, path)
-            for word in words:
-                held.append(net.windows_of(*spelt(word)[:2]))
-                n += len(held[-1])
-                if n >= SHUFFLED:
-                    step(held)
-                    seen, held, n = seen + n, [], 0
+            lengths = [len(x) for x in words]
+            for first, upto in _together(lengths):
+                windows, sizes = spelt.windows(np.concatenate(words[first:upto]), lengths[first:upto])
+                for own_windows in np.split(windows, np.cumsum(sizes)[:-1]):
+                    held.append(own_windows)
+                    n += len(own_windows)
+                    if n >= SHUFFLED:
+                        step(held)
+                        seen, held, n = seen + n, [], 0
         if n:
             step(held)
             seen += n
@@ -218,25 +253,20 @@ class _Scorer:
         share[c == 0] = -np.inf
         ends = np.cumsum(lengths)
         out = []
-        at = 0
-        while at < len(texts):
-            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 40_000, side="right")))
-            first = int(ends[at - 1]) if at else 0
-            part = word[first : int(ends[upto - 1])]
+        for at, upto in _together(lengths):
+            part = word[ends[at] - lengths[at] : ends[upto - 1]]
             scores = np.logaddexp(np.log1p(-SHARE) + self._attention(part, lengths[at:upto], spelt), share[part])
             bounds = np.r_[0, np.cumsum(lengths[at:upto])[:-1]]
             out.append((np.array(lengths[at:upto]), np.add.reduceat((c[part] > 0).astype(np.int64), bounds), np.add.reduceat(base[part], bounds), np.add.reduceat(scores, bounds) / log(10)))
-            at = upto
         return [np.concatenate(x) for x in zip(*out)]
 
     def _attention(self, part, lengths, spelt) -> np.ndarray:
         """Natural log probability of each of the words in part; a very long text is taken as a whole, in windows."""
-        ids, ends, starts = spelt(part)
-        doc_starts = np.r_[starts[np.r_[0, np.cumsum(lengths)[:-1]]], len(ids)]
-        windows = np.concatenate([net.windows_of(ids[a:b], ends[a:b]) for a, b in zip(doc_starts[:-1], doc_starts[1:])])
+        windows, _ = spelt.windows(part, lengths)
         got = np.concatenate([net.log_probs(self.model, *net.parts(windows[k : k + BATCH])) for k in range(0, len(windows), BATCH)])
         real = net.parts(windows)[1] != net.NOTHING
-        return np.add.reduceat(got[real].astype(np.float64), starts)
+        own = spelt.sizes[part]
+        return np.add.reduceat(got[real].astype(np.float64), np.cumsum(own) - own)
 
 
 def scored(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -250,12 +280,11 @@ def scored(docs: DataFrame, path: str | None = None) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
     dealt = docs.withColumns({"block": F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("long"), "train": _train()})
-    words = written(block_words(dealt))
-    counts = checkpointed(words.groupBy("word").agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("rows")).filter("c > 0"))
-    facts = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+    known = known_words(dealt.repartitionById(blocks, F.col("block").cast("int")), blocks)
+    facts = known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("first").cast("long")), F.lit(0)).alias("v")).first()
     n, v = facts["n"], facts["v"]
     numbers = fitted(docs, path)
-    known = spread_join(words.select("block", "word"), counts, "word", "rows", F.col("block"))
+    released(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     first = known.select("block", F.lit(0).alias("kind"), F.col("word").alias("text"), F.col("c").alias("c"), F.lit(None).cast(kind).alias("doc_id"))
     rows = first.union(dealt.select("block", F.lit(1), "text", F.lit(0).cast("long"), "doc_id"))

@@ -107,6 +107,16 @@ def test_windows_score_each_id_once_and_causally():
     assert np.allclose(a[:30], b[:30], atol=1e-5) and not np.allclose(a[30:], b[30:], atol=1e-5)
 
 
+def test_windows_of_many_texts_are_those_of_each():
+    rng = np.random.default_rng(2)
+    for sizes in ([1], [32, 33, 31, 1, 64, 65, 200, 32], rng.integers(1, 100, 200)):
+        bounds = np.r_[0, np.cumsum(sizes)]
+        ids, last = rng.integers(0, attention.IDS, bounds[-1]), rng.integers(0, 2, bounds[-1])
+        each = [attention.windows_of(ids[a:b], last[a:b]) for a, b in zip(bounds, bounds[1:])]
+        windows, n = attention.windows_of_all(ids, last, bounds)
+        assert (windows == np.concatenate(each)).all() and n.tolist() == [len(x) for x in each]
+
+
 def test_probabilities_sum_to_one():
     m = attention.initial()
     base = attention.windows_of(np.array([5, 9, 3]), np.array([0, 1, 1]))
@@ -151,6 +161,19 @@ def test_scores_of_odd_rows(spark, monkeypatch):
     assert scoring.scored(docs.filter("false")).count() == 0
 
 
+def test_a_word_has_one_row_in_a_block(spark, monkeypatch):
+    """However many tasks read a block's texts; rows of a word that each of them writes made for most of what was shuffled."""
+    monkeypatch.setattr(scoring, "WARM_WINDOWS", 256)
+    tables, write = [], scoring.written
+    monkeypatch.setattr(scoring, "written", lambda df: tables.append(write(df)) or tables[-1])
+    docs = spark.createDataFrame([(i, "the cat sat") for i in range(60)] + [(60, "unseen")], "doc_id long, text string").repartition(6)
+    got = scoring.scored(docs).collect()
+    assert len(got) == 61 and {(r.n_tokens, r.n_known) for r in got if r.doc_id < 60} == {(4, 4)}
+    words = tables[0].collect()
+    assert len(words) == len({(r.block, r.word) for r in words}) == 5
+    assert sum(r.n for r in words) == got[0].train_tokens
+
+
 def test_model_learns_from_every_window(spark):
     path = attention.vocabulary_path()
     rows = [(i, "the cat sat on the mat " * (20 * i)) for i in range(1, 30)] + [(None, "the cat"), (31, None), (32, "")]
