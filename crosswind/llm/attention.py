@@ -61,7 +61,7 @@ def initial(seed: int = 1) -> dict[str, np.ndarray]:
 
 
 def flat(model: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([model[k].ravel() for k in SHAPES]).astype(np.float32)
+    return np.concatenate([model[k].ravel() for k in SHAPES]).astype(np.float32, copy=False)
 
 
 def unflat(values: np.ndarray) -> dict[str, np.ndarray]:
@@ -133,7 +133,7 @@ def log_probs(m: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
     for j in range(CLASSES):
         rows = slice(bounds[j], bounds[j + 1])
         if bounds[j + 1] > bounds[j]:
-            np.matmul(u1[rows], heads[j].T, out=x[rows])
+            np.dot(u1[rows], heads[j].T, out=x[rows])
     got += held(x).ravel()[np.arange(len(t)) * MEMBERS + t % MEMBERS]
     got -= np.log(np.exp(x, out=x) @ np.ones(MEMBERS, np.float32))
     y = u1 @ np.append(m["last"], np.float32(0)) + m["last_bias"][t]
@@ -164,45 +164,48 @@ def gradients(m: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
     h = (a @ x).reshape(-1, WIDTH + 1)
     sums = np.maximum(h[:, WIDTH:], np.float32(1e-30))
     h = h[:, :WIDTH] / sums
-    u0 = xq + h @ vo
-    z = u0 @ m["w1"]
-    z += m["b1"]
+    u1 = np.ones((len(xq), WIDTH + 1), np.float32)  # the last column is for biases
+    u0 = np.add(xq, h @ vo, out=u1[:, :WIDTH])
+    z = u1 @ np.concatenate([m["w1"], m["b1"][None]])
     np.maximum(z, 0, out=z)
     t, last = targets.ravel(), last.ravel()
     c = (t // MEMBERS).astype(np.int16)  # radix sort
     bounds = np.r_[0, np.cumsum(np.bincount(c, minlength=CLASSES + 1)[:CLASSES])].tolist()
     at = np.argsort(c, kind="stable")[: bounds[-1]]  # by class, without NOTHING
     t, last, c, n = t[at], last[at], c[at], np.float32(max(1, len(at)))
-    u = np.ones((len(at), WIDTH + 1), np.float32)  # the last column is for biases
-    u[:, :WIDTH] = np.take(u0 + z @ m["w2"], at, axis=0)
+    u = np.take(u1, at, axis=0)
+    u[:, :WIDTH] += np.take(z @ m["w2"], at, axis=0)
     rows, own = np.arange(len(t)), t % MEMBERS
     g: dict[str, np.ndarray] = {}
 
-    def less(p: np.ndarray, hit: np.ndarray) -> float:
-        """p from logits to gradients of the loss, which is returned."""
+    def less(p: np.ndarray, hit: np.ndarray) -> tuple[float, np.ndarray]:
+        """p from logits to gradients of the loss but for a factor of each row; the loss and these factors."""
         at = rows * p.shape[1] + hit
         chosen = held(p).ravel()[at]
         np.exp(p, out=p)
         total = p @ np.ones(p.shape[1], np.float32)
-        p *= (1 / (total * n))[:, None]
-        p.ravel()[at] -= 1 / n
-        return float(np.log(total).sum() - chosen.sum())
+        p.ravel()[at] -= total
+        return float(np.log(total).sum() - chosen.sum()), (1 / (total * n))[:, None]
 
     heads = np.concatenate([m["classes"], m["class_bias"][:, None]], axis=1)
     p = u @ heads.T
-    loss = less(p, c)
-    grad = p.T @ u
+    loss, share = less(p, c)
+    grad = p.T @ (u * share)
     g["classes"], g["class_bias"] = grad[:, :WIDTH], grad[:, WIDTH]
     du = p @ m["classes"]
+    du *= share
     heads, p = np.concatenate([m["members"], m["member_bias"][:, :, None]], axis=2), np.empty((len(t), MEMBERS), np.float32)
     members = [(j, slice(bounds[j], bounds[j + 1])) for j in range(CLASSES) if bounds[j + 1] > bounds[j]]
     for j, part in members:
-        np.matmul(u[part], heads[j].T, out=p[part])
-    loss += less(p, own)
-    grad = np.zeros((CLASSES, MEMBERS, WIDTH + 1), np.float32)
+        np.dot(u[part], heads[j].T, out=p[part])
+    more, share = less(p, own)
+    loss += more
+    grad, own_u, own_du = np.zeros((CLASSES, MEMBERS, WIDTH + 1), np.float32), u * share, np.empty_like(du)
     for j, part in members:
-        np.matmul(p[part].T, u[part], out=grad[j])
-        du[part] += p[part] @ m["members"][j]
+        np.dot(p[part].T, own_u[part], out=grad[j])
+        np.dot(p[part], m["members"][j], out=own_du[part])
+    own_du *= share
+    du += own_du
     g["members"], g["member_bias"] = grad[..., :WIDTH], grad[..., WIDTH]
     y = u[:, :WIDTH] @ m["last"] + m["last_bias"][t]
     dy = np.where(t == END, 0, 1 / (1 + np.exp(-np.clip(y, -30, 30))) - last).astype(np.float32) / n
@@ -215,7 +218,8 @@ def gradients(m: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
     g["w2"] = z.T @ d
     dz = d @ m["w2"].T
     dz *= z > 0
-    g["w1"], g["b1"] = u0.T @ dz, dz.sum(0)
+    grad = u1.T @ dz
+    g["w1"], g["b1"] = grad[:WIDTH], grad[WIDTH]
     du0 = d + dz @ m["w1"].T
     grad = h.T @ du0
     g["v"], g["o"] = grad @ m["o"].T, m["v"].T @ grad
@@ -250,18 +254,16 @@ class Adam:
     def step(self, grads: dict[str, np.ndarray], rate: float) -> None:
         self.n += 1
         g, a, b = flat(grads), self.first, self.second
-        d = g - a
-        d *= np.float32(0.1)
-        a += d
+        a *= np.float32(0.9)
+        a += g
         g *= g
-        g -= b
-        g *= np.float32(0.01)
+        b *= np.float32(0.99)
         b += g
-        np.divide(b, np.float32(1 - 0.99**self.n), out=g)
-        np.sqrt(g, out=g)
-        g += np.float32(1e-6)
-        np.multiply(a, np.float32(rate / (1 - 0.9**self.n)), out=d)
-        d /= g
+        np.sqrt(b, out=g)  # moments are sums: 0.1 and 0.01 of them are the means
+        size = (1 - 0.9**self.n) / (0.1 * rate)
+        g *= np.float32(size * np.sqrt(0.01 / (1 - 0.99**self.n)))
+        g += np.float32(size * 1e-6)
+        d = np.divide(a, g, out=g)
         at = 0
         for k in SHAPES:
             own = self.model[k]

@@ -14,11 +14,12 @@ then its texts.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from math import log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,10 +53,28 @@ class _Places(dict):
         return number
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts one after the other, as ``lower_words`` gives them, and how many each text has."""
+    found = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    words = found.flatten()
+    real = pc.greater(pc.binary_length(words), 0)  # white space at either end of a text leaves an empty word
+    ends = np.r_[0, np.cumsum(real.to_numpy(zero_copy_only=False))][found.offsets.to_numpy() - found.offsets[0].as_py()]
+    return words.filter(real), np.diff(ends)
+
+
+def numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Numbers of the words of all texts, an end (0) behind each text's; how many each text has; and the words from number 1 on."""
+    words, sizes = split_words(texts)
+    found = words.dictionary_encode()
+    word = np.zeros(len(words) + len(sizes), np.int64)
+    word[np.arange(len(words)) + np.repeat(np.arange(len(sizes)), sizes)] = found.indices.to_numpy() + 1
+    return word, sizes + 1, found.dictionary
+
+
 class _Spelt:
     """The ids of numbered words, each distinct one looked up once."""
 
-    def __init__(self, place: _Places, path: str):
+    def __init__(self, place: Iterable[bytes], path: str):
         distinct = list(place)[1:]
         parts = [net.word_ids(path, distinct[k : k + 20_000]) for k in range(0, len(distinct), 20_000)]
         self.ids = np.concatenate([np.array([net.END], np.int32), *(x for x, _ in parts)])
@@ -87,6 +106,28 @@ def _together(lengths: list[int], words: int = 40_000) -> Iterator[tuple[int, in
         at = upto
 
 
+def pieces(columns: Iterable[pa.Array]) -> Iterator[pa.Array]:
+    """Texts in order, as many at a time as have about TOGETHER bytes; a longer one is by itself."""
+    held, size = [], 0
+    for column in columns:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(column):
+            before = int(ends[at - 1]) if at else 0
+            upto = int(np.searchsorted(ends, before + TOGETHER - size, side="right"))
+            if upto == at and not held:
+                upto += 1
+            if upto > at:
+                held.append(column.slice(at, upto - at))
+                size += int(ends[upto - 1]) - before
+            if upto < len(column):
+                yield pa.concat_arrays(held)
+                held, size = [], 0
+            at = upto
+    if held:
+        yield pa.concat_arrays(held)
+
+
 def block_words(dealt: DataFrame) -> DataFrame:
     """block, word and n: the words of each block, ends as TEXT_END, and how often training documents of it have them, counted
     per task first. dealt: block, train and text."""
@@ -194,13 +235,11 @@ def learnt(docs: DataFrame, start: np.ndarray, path: str) -> DataFrame:
             for k in range(0, len(w), RATE_BATCH):
                 adam.step(net.gradients(own, *net.parts(w[k : k + RATE_BATCH]))[1], RATE)
 
-        for batch in slices(batches, 256):
-            place = _Places({TEXT_END: 0})
-            words = [np.fromiter(map(place.__getitem__, own_words), np.int64, len(own_words)) for own_words in ([*lower_words(text), TEXT_END] for text in text_bytes(batch.column(0)))]
-            spelt = _Spelt(place, path)
-            lengths = [len(x) for x in words]
+        for texts in pieces(batch.column(0) for batch in batches):
+            word, lengths, distinct = numbered(texts)
+            spelt, ends = _Spelt([TEXT_END, *distinct.cast(pa.large_binary()).to_pylist()], path), np.cumsum(lengths)
             for first, upto in _together(lengths):
-                windows, sizes = spelt.windows(np.concatenate(words[first:upto]), lengths[first:upto])
+                windows, sizes = spelt.windows(word[ends[first] - lengths[first] : ends[upto - 1]], lengths[first:upto])
                 for own_windows in np.split(windows, np.cumsum(sizes)[:-1]):
                     held.append(own_windows)
                     n += len(own_windows)
@@ -236,18 +275,13 @@ class _Scorer:
     def __init__(self, numbers: np.ndarray, path: str, n: int, v: int):
         self.model, self.path, self.n, self.v = net.unflat(numbers), path, n, v
 
-    def block(self, texts: list[bytes], counts: dict[bytes, int]):
-        """n_tokens, n_known, base_score and score of each text; counts has the training counts of their words."""
-        place = _Places({TEXT_END: 0})
-        parts, lengths = [], []
-        for x in texts:
-            own = lower_words(x)
-            own.append(TEXT_END)
-            parts.append(np.fromiter(map(place.__getitem__, own), np.int64, len(own)))
-            lengths.append(len(own))
-        word = np.concatenate(parts)
-        spelt = _Spelt(place, self.path)
-        c = np.array([counts.get(w, 0) for w in place], np.float64)
+    def block(self, texts: pa.Array, words: pa.Array, counts: np.ndarray):
+        """n_tokens, n_known, base_score and score of each text; words are those of training, TEXT_END among them, and counts theirs."""
+        word, lengths, distinct = numbered(texts)
+        distinct = pa.concat_arrays([pa.array([TEXT_END.decode()], pa.large_string()), distinct])
+        at = pc.fill_null(pc.index_in(distinct, value_set=words), -1).to_numpy()
+        spelt = _Spelt(distinct.cast(pa.large_binary()).to_pylist(), self.path)
+        c = np.append(counts, 0)[at].astype(np.float64)
         base = np.log10(c + 1) - (np.log10(self.n + 1.0 * (self.v + 1)))
         share = np.log(SHARE) + np.log(np.maximum(c, 1e-300) / max(1, self.n))
         share[c == 0] = -np.inf
@@ -257,7 +291,7 @@ class _Scorer:
             part = word[ends[at] - lengths[at] : ends[upto - 1]]
             scores = np.logaddexp(np.log1p(-SHARE) + self._attention(part, lengths[at:upto], spelt), share[part])
             bounds = np.r_[0, np.cumsum(lengths[at:upto])[:-1]]
-            out.append((np.array(lengths[at:upto]), np.add.reduceat((c[part] > 0).astype(np.int64), bounds), np.add.reduceat(base[part], bounds), np.add.reduceat(scores, bounds) / log(10)))
+            out.append((lengths[at:upto], np.add.reduceat((c[part] > 0).astype(np.int64), bounds), np.add.reduceat(base[part], bounds), np.add.reduceat(scores, bounds) / log(10)))
         return [np.concatenate(x) for x in zip(*out)]
 
     def _attention(self, part, lengths, spelt) -> np.ndarray:
@@ -292,23 +326,26 @@ def scored(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def score(batches):
         net.keep_memory()
-        scorer, counts, kept, texts, size = _Scorer(numbers, path, n, v), {}, [], [], 0
+        scorer, words, counts, kept, texts, size = _Scorer(numbers, path, n, v), [], [], [], [], 0
 
         def scored():
-            got = scorer.block(texts, counts)
+            nonlocal words, counts
+            if len(words) != 1:
+                words, counts = [pa.concat_arrays([pa.array([], pa.large_string()), *words])], [np.concatenate([np.empty(0, np.int64), *counts])]
+            got = scorer.block(pa.concat_arrays(texts), words[0], counts[0])
             return pa.RecordBatch.from_arrays([pa.concat_arrays(kept), *(pa.array(x, t) for x, t in zip(got, (pa.int64(), pa.int64(), pa.float64(), pa.float64())))], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
         for batch in slices(batches, 1024):
             kinds = batch.column(1).to_numpy()
             upto = int((kinds == 0).sum())
             if upto:
-                counts.update(zip(text_bytes(batch.column(2).slice(0, upto)), batch.column(3).slice(0, upto).to_pylist()))
+                words.append(batch.column(2).slice(0, upto).cast(pa.large_string()))
+                counts.append(batch.column(3).slice(0, upto).to_numpy())
             if upto == len(kinds):
                 continue
             kept.append(batch.column(4).slice(upto))
-            more = text_bytes(batch.column(2).slice(upto))
-            texts += more
-            size += sum(map(len, more))
+            texts.append(batch.column(2).slice(upto))
+            size += pc.sum(pc.binary_length(texts[-1])).as_py() or 0
             if size > TOGETHER:
                 yield scored()
                 kept, texts, size = [], [], 0

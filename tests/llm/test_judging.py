@@ -11,6 +11,7 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
@@ -107,6 +108,23 @@ def test_windows_score_each_id_once_and_causally():
     assert np.allclose(a[:30], b[:30], atol=1e-5) and not np.allclose(a[30:], b[30:], atol=1e-5)
 
 
+def test_numbered_words_are_those_of_the_texts():
+    """Words by Arrow: other white space and letters beyond A-Z stay as they are, a null text has its end."""
+    texts = [None, "", " ", "  the Cat ", "A\x0bB\x1cC\x85D\u00a0É", "the\x00cat\tTHE", *("İ aB\r\n" * k for k in range(9))]
+    want = [[*scoring.lower_words((x or "").encode()), scoring.TEXT_END] for x in texts]
+    column = pa.array([*texts, "more"])
+    for part, own in ((column.slice(0, len(texts)), want), (column.slice(3, 3), want[3:6]), (column.slice(0, 1), want[:1]), (column.slice(0, 0), [])):
+        word, lengths, distinct = scoring.numbered(part)
+        named = [scoring.TEXT_END, *(x.encode() for x in distinct.to_pylist())]
+        assert lengths.tolist() == [len(x) for x in own] and [named[k] for k in word] == [w for x in own for w in x]
+    for together in (1, 10, 1000):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(scoring, "TOGETHER", together)
+            got = [x.to_pylist() for x in scoring.pieces([column.slice(0, 4), column.slice(4, 0), column.slice(4)])]
+        assert [x for part in got for x in part] == column.to_pylist()
+        assert all(len(part) == 1 or 0 < sum(len((x or "").encode()) for x in part) <= together for part in got)
+
+
 def test_windows_of_many_texts_are_those_of_each():
     rng = np.random.default_rng(2)
     for sizes in ([1], [32, 33, 31, 1, 64, 65, 200, 32], rng.integers(1, 100, 200)):
