@@ -93,6 +93,9 @@ class _Spelt:
     def windows(self, word: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """The windows of texts of so many words, which stand one after the other in word, and how many each text has."""
         ids, last, starts = self(word)
+        if len(lengths) == 1:  # may be very long, so without the places of all its ids
+            own = net.windows_of(ids, last)
+            return own, np.array([len(own)])
         return net.windows_of_all(ids, last, np.r_[starts[np.r_[0, np.cumsum(lengths)[:-1]]], len(ids)])
 
 

@@ -6,6 +6,7 @@ import re
 import subprocess
 import sys
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -108,6 +109,18 @@ def test_windows_score_each_id_once_and_causally():
     assert np.allclose(a[:30], b[:30], atol=1e-5) and not np.allclose(a[30:], b[30:], atol=1e-5)
 
 
+def test_windows_of_one_long_text_take_little_more_than_themselves():
+    path, words = attention.vocabulary_path(), np.resize(np.arange(1, 4), 300_000)
+    spelt = scoring._Spelt([scoring.TEXT_END, b"the", b"cat", b"sat"], path)
+    tracemalloc.start()
+    windows, sizes = spelt.windows(np.append(words, 0), [len(words) + 1])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    ids, last, starts = spelt(np.append(words, 0))
+    assert (windows == attention.windows_of_all(ids, last, np.array([0, len(ids)]))[0]).all() and sizes.tolist() == [len(windows)]
+    assert peak < 3.5 * windows.nbytes  # 4.4 with the places of all ids
+
+
 def test_numbered_words_are_those_of_the_texts():
     """Words by Arrow: other white space and letters beyond A-Z stay as they are, a null text has its end."""
     texts = [None, "", " ", "  the Cat ", "A\x0bB\x1cC\x85D\u00a0É", "the\x00cat\tTHE", *("İ aB\r\n" * k for k in range(9))]
