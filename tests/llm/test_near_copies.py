@@ -334,3 +334,43 @@ def test_packed_texts(spark):
     texts = ["", "größe " * 100, "the cat"]
     got = {r.id: bytes(r.text) for r in passages.packed(spark.createDataFrame([(7, i, x) for i, x in enumerate(texts)], "h long, id long, text string")).collect()}
     assert [*passages.unpacked(pa.array([got[i] for i in range(3)], pa.binary()))] == [x.encode() for x in texts] and len(got[1]) < 100
+
+
+def contexts(rows: list[np.ndarray], sides: list[bool] | None = None) -> pa.RecordBatch:
+    """Rows around places of one signature, each of a text of its own, as ``_near_links`` takes them."""
+    n = len(rows)
+    ids = pa.array(range(n), pa.int64())
+    around = pa.array([x.tobytes() for x in rows], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([1] * n, pa.int64()), ids, ids, pa.array([57] * n, pa.int32()), around, pa.array([[]] * n, pa.list_(pa.int64())), pa.array(sides or [False] * n)], ["set", "doc", "id", "at", "around", "sets", "side"])
+
+
+def test_what_is_held_of_a_large_group_of_near_copies_does_not_grow_with_its_pairs():
+    """800 forms with a shingle of their own in each 20: 319,600 pairs."""
+    import tracemalloc
+
+    rng = np.random.default_rng(22)
+    rows = np.tile(rng.integers(1, 2**32, 115, np.uint32), (800, 1))
+    for at in range(10, 115, 20):
+        rows[:, at] = rng.integers(1, 2**32, 800, np.uint32)
+    tracemalloc.start()
+    got, linked = {}, 0
+    for batch in passages._near_links(iter([contexts(list(rows))]), 46):
+        linked += batch.column(4).null_count
+        ids, partners = batch.column(4).to_numpy(zero_copy_only=False), batch.column(5)
+        for i, n in zip(ids, partners.value_lengths().to_pylist()):
+            if n:
+                got[int(i)] = got.get(int(i), 0) + n
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == dict.fromkeys(range(800), 799) and linked == 799 and peak < 60e6, peak
+
+
+def test_two_blocks_are_compared_with_each_other_only():
+    rng = np.random.default_rng(23)
+    rows = np.tile(rng.integers(1, 2**32, 115, np.uint32), (12, 1))
+    for at in range(10, 115, 20):
+        rows[:, at] = rng.integers(1, 2**32, 12, np.uint32)
+    got = set()
+    for batch in passages._near_links(iter([contexts(list(rows), [k % 3 == 0 for k in range(12)])]), 46):
+        got |= {(r["id"], k) for r in batch.to_pylist() for k in r["partners"] or ()}
+    assert got == {(i, j) for i in range(12) for j in range(12) if (i % 3 == 0) != (j % 3 == 0)}
