@@ -374,3 +374,32 @@ def test_two_blocks_are_compared_with_each_other_only():
     for batch in passages._near_links(iter([contexts(list(rows), [k % 3 == 0 for k in range(12)])]), 46):
         got |= {(r["id"], k) for r in batch.to_pylist() for k in r["partners"] or ()}
     assert got == {(i, j) for i in range(12) for j in range(12) if (i % 3 == 0) != (j % 3 == 0)}
+
+
+def test_places_of_a_crowded_signature_are_marked_under_every_function():
+    """Near copies may meet under the last two functions alone."""
+    for function in range(passages.FUNCTIONS):
+        n = passages.FEW + 2
+        rows = [[7] * n, list(range(n)), [3 << 2 | function] * n, [46 << 8 | 46] * n]
+        batch = pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in rows[:3]), pa.array(rows[3], pa.int16())], ["key", "doc", "packed", "reach"])
+        out = [r for b in passages._links(iter([batch]), 46) for r in b.to_pylist()]
+        assert sorted((r["a"], r["at_a"]) for r in out if r["function"] == passages.CROWDED + function and r["b"] == 7) == [(k, 3) for k in range(n)]
+
+
+def test_near_copies_that_both_repeat_shingles_are_found():
+    """Forms of 60 words with one of their own, behind which a line stands twice; 8 shingles of 46 are others in the last two."""
+    rng, shingles = random.Random(24), passages.Shingles()
+    base, line = made(rng, 60), made(rng, 8)
+    texts = [base[:20] + [w] + base[21:] + line + [w] + line + [w] for w in made(rng, 4)]
+    texts += [base[:20] + [w] + base[21:26] + made(rng, 1) + base[27:44] + made(rng, 1) + base[45:] + line + [w] + line for w in made(rng, 2)]
+    n, rows, cut = passages.AROUND, [], []
+    for w in texts:
+        h = shingles(" ".join(w).encode())
+        upper = np.zeros(len(h) + 2 * n, np.uint32)
+        upper[n : n + len(h)] = (h >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        rows.append(upper[35 : 35 + 2 * n + 1])
+        cut.append(h)
+    assert all(len(set(x[x > 0].tolist())) < (x > 0).sum() for x in rows)
+    got = {tuple(sorted(x)) for x in passages.near_only(np.arange(len(texts)), np.stack(rows), [[] for _ in texts], 46)}
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if passages.common_passages(cut[i], cut[j], [(35, 35)], 46)}
+    assert got == want and {(i, j) for j in range(4) for i in range(j)} <= got
