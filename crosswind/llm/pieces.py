@@ -44,7 +44,9 @@ class Pieces:
         crossing = any(MARK in p.lstrip(MARK) for p in scores)
         lines = any("\n" in p and len(p) > 1 for p in scores)
         self.chunks = None if crossing else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if lines else f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
-        self.memory: dict[str, array] = {}
+        #: Ids of chunks, as the bytes of an array of ints; and the chunks whose ids don't decode to them.
+        self.memory: dict[str, bytes] = {}
+        self.inexact: set[str] = set()
         #: Each prefix of a piece, with its id and score if it is a piece itself.
         self.table = {p: scores.get(p, (-1, 0.0)) for p in self.prefixes}
 
@@ -153,34 +155,51 @@ class Pieces:
         ids.reverse()
         return array("i", ids)
 
-    def _marked(self, text: str) -> array:
-        """Ids of a text whose marks stand for spaces."""
-        ids, memory = array("i"), self.memory
+    def _chunk(self, chunk: str) -> bytes:
+        if len(chunk) > REMEMBERED_CHARS:
+            ids = array("i", self.search(chunk[k : k + 4096] for k in range(0, len(chunk), 4096)))
+            return ids.tobytes()
+        if len(self.memory) >= REMEMBERED:
+            self.memory.clear()
+            self.inexact.clear()
+        ids = self.search_short(chunk)
+        if b"".join(map(self.bytes_of.__getitem__, ids)) != chunk.replace(MARK, " ").encode():
+            self.inexact.add(chunk)
+        found = self.memory[chunk] = ids.tobytes()
+        return found
+
+    def _marked(self, text: str) -> tuple[array, bool]:
+        """Ids of a text whose marks stand for spaces, and whether each chunk's were decoded to it."""
         if self.chunks is None:
-            ids.extend(self.search(text[k : k + 4096] for k in range(0, len(text), 4096)))
-            return ids
-        for chunk in self.chunks.findall(text):
-            found = memory.get(chunk)
-            if found is None:
-                if len(chunk) > REMEMBERED_CHARS:
-                    ids.extend(self.search(chunk[k : k + 4096] for k in range(0, len(chunk), 4096)))
-                    continue
-                if len(memory) >= REMEMBERED:
-                    memory.clear()
-                found = memory[chunk] = self.search_short(chunk)
-            ids.extend(found)
-        return ids
+            return array("i", self.search(text[k : k + 4096] for k in range(0, len(text), 4096))), False
+        chunks = self.chunks.findall(text)
+        found, sure = list(map(self.memory.get, chunks)), True
+        if None in found:
+            for k, ids in enumerate(found):
+                if ids is None:
+                    found[k] = self._chunk(chunks[k])
+                    sure &= len(chunks[k]) <= REMEMBERED_CHARS
+        if self.inexact:
+            sure &= self.inexact.isdisjoint(chunks)
+        ids = array("i")
+        ids.frombytes(b"".join(found))
+        return ids, sure and sum(map(len, chunks)) == len(text)
 
     def encode(self, text: str) -> array:
         """Ids of text behind one space; none for an empty text. A mark in the text itself is taken as its bytes."""
+        return self.encoded(text)[0]
+
+    def encoded(self, text: str) -> tuple[array, bool]:
+        """Ids of ``encode``, and whether they decode to text: each chunk's ids are decoded when they are remembered, and all ids of
+        a text that has other chunks, or marks of its own."""
         if not text:
-            return array("i")
+            return array("i"), self.decode(()) == text
         head, *rest = text.split(MARK)
-        ids = self._marked(MARK + head.replace(" ", MARK))
+        ids, sure = self._marked(MARK + head.replace(" ", MARK))
         for x in rest:
             ids.extend(self.byte_ids[b] for b in MARK.encode())
-            ids.extend(self._marked(x.replace(" ", MARK)))
-        return ids
+            ids.extend(self._marked(x.replace(" ", MARK))[0])
+        return ids, sure and not rest or self.decode(ids) == text
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode()[1:]
@@ -198,8 +217,7 @@ def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
         for whole in batches:
             for k in range(0, whole.num_rows, 512):
                 batch = whole.slice(k, 512)
-                found = [None if x is None else pieces.encode(x) for x in batch.column(1).to_pylist()]
-                exact = [None if ids is None else pieces.decode(ids) == x for ids, x in zip(found, batch.column(1).to_pylist())]
+                found, exact = zip(*((None, None) if x is None else pieces.encoded(x) for x in batch.column(1).to_pylist()))
                 offsets, values = [0], array("i")
                 for ids in found:
                     values.extend(ids or ())

@@ -174,3 +174,19 @@ def test_lines_of_odd_rows(spark):
     twice = linededup.deduplicated(edge(spark, [(1, run), (1, run), (2, run)]))
     assert sorted((r.doc_id, r.text) for r in twice.collect()) == [(1, run), (1, run), (2, "")]
     assert linededup.cleaned(edge(spark)).columns == ["doc_id", "text", "component_id", "n_removed"]
+
+
+def test_ids_of_remembered_chunks_are_decoded_once(monkeypatch):
+    from crosswind.llm.pieces import Pieces, vocabulary_path
+
+    own, run, whole = Pieces.load(vocabulary_path()), Pieces.decode, []
+    monkeypatch.setattr(Pieces, "decode", lambda self, ids: whole.append(1) or run(self, ids))
+    text = "the cat sat\non  the mat é "
+    ids, exact = own.encoded(text)
+    assert exact is True and not whole and run(own, ids) == text and own.encoded(text) == (ids, True)
+    for odd in ("", "a▁ b", "x" * 5000):
+        assert own.encoded(odd)[1] is True
+    assert len(whole) == 3
+    own.bytes_of[own.encode("the")[0]] = b" ?"  # a vocabulary that doesn't give the text back
+    own.memory.clear()
+    assert own.encoded("the cat")[1] is False and own.encoded("the cat the")[1] is False
