@@ -403,3 +403,48 @@ def test_near_copies_that_both_repeat_shingles_are_found():
     got = {tuple(sorted(x)) for x in passages.near_only(np.arange(len(texts)), np.stack(rows), [[] for _ in texts], 46)}
     want = {(i, j) for j in range(len(texts)) for i in range(j) if passages.common_passages(cut[i], cut[j], [(35, 35)], 46)}
     assert got == want and {(i, j) for j in range(4) for i in range(j)} <= got
+
+
+def test_texts_of_repeated_words_are_not_compared_place_by_place(monkeypatch):
+    """Runs of one word, as many texts have, with others of their own beside them; and two texts that differ in a word behind such runs."""
+    rng, shingles, aligned = random.Random(25), passages.Shingles(), []
+    texts = [["of"] * 47 + [w] * 30 + [v] * 30 for w, v in zip(made(rng, 40), made(rng, 40))]
+    texts += [["of"] * 47 + ["was"] * 43 + made(rng, 1) + ["that"] * 30 for _ in range(2)]
+    n, rows, ids, cut = passages.AROUND, [], [], []
+    for k, w in enumerate(texts):
+        h = shingles(" ".join(w).encode())
+        upper = np.zeros(len(h) + 2 * n, np.uint32)
+        upper[n : n + len(h)] = (h >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        for at in range(43):
+            rows.append(upper[at : at + 2 * n + 1])
+            ids.append(k)
+            cut.append((h[max(0, at - n) : at + n + 1], min(at, n)))
+    run = passages._stuck
+    monkeypatch.setattr(passages, "_stuck", lambda x, y, least: aligned.append(len(x)) or run(x, y, least), raising=False)
+    for side in (None, np.array(ids) % 2 == 1):
+        got = [tuple(sorted(z)) for x, y in passages.near_pairs(np.array(ids), np.stack(rows), [[]] * len(ids), 46, side) for z in zip(x.tolist(), y.tolist())]
+        own = [[r for r, k in enumerate(ids) if k == t] for t in (40, 41)]
+        want = {(i, j) for i in own[0] for j in own[1] if passages.common_passages(cut[i][0], cut[j][0], [(cut[i][1], cut[j][1])], 46)}
+        assert set(got) == want and len(got) == len(want) > 0
+        # 1.5 million pairs of places otherwise
+        assert aligned and sum(aligned) <= 43 * 43
+        aligned.clear()
+    # rows of one block alone have no pairs
+    assert not list(passages.near_pairs(np.array(ids), np.stack(rows), [[]] * len(ids), 46, np.zeros(len(ids), bool)))
+
+
+def test_references_are_gone_before_the_driver_collects(spark, monkeypatch):
+    from collections import deque
+
+    from crosswind.llm import common
+
+    class Slow(deque):
+        asked = 0
+
+        def __bool__(self):
+            Slow.asked += 1
+            return Slow.asked < 4
+
+    monkeypatch.setattr(spark.sparkContext._gateway._gateway_client, "finalizer_deque", Slow())
+    common.released(spark)
+    assert Slow.asked == 4
