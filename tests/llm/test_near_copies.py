@@ -448,3 +448,18 @@ def test_references_are_gone_before_the_driver_collects(spark, monkeypatch):
     monkeypatch.setattr(spark.sparkContext._gateway._gateway_client, "finalizer_deque", Slow())
     common.released(spark)
     assert Slow.asked == 4
+
+
+def test_files_of_places_are_gone_when_pairs_are_made(spark, monkeypatch):
+    rng = random.Random(26)
+    part = [f"p{rng.randrange(9**9)}" for _ in range(80)]
+    docs = spark.createDataFrame([(i, " ".join([f"w{rng.randrange(9**9)}" for _ in range(60)] + part * (i % 2))) for i in range(40)], "doc_id long, text string")
+    save, order = passages.checkpointed, []
+    monkeypatch.setattr(passages, "checkpointed", lambda df: order.append(df.columns) or save(df))
+    go = passages.released
+    monkeypatch.setattr(passages, "released", lambda session: order.append("released") or go(session))
+    found, *_ = passages.near_passages(docs)
+    partners = next(k for k, x in enumerate(order) if "partners" in x)
+    named = next(k for k, x in enumerate(order) if "places" in x)
+    exact = next(k for k, x in enumerate(order) if "set" in x and "at_a" in x)
+    assert found.count() and "released" in order[exact:partners] and "released" in order[partners:named]
